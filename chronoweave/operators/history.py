@@ -102,7 +102,9 @@ def build_history(properties: DataFrame) -> DataFrame:
     rows = statements(properties)
     digests = leaf_digests(rows, "id", "value_json", "as_of_us", "recorded_us")
     changed = differing_leaves(cut(cumulative(digests)))
-    return versions(rows.join(F.broadcast(changed), ["snapshot", "leaf"], "left_semi"))  # at most LEAVES rows a snapshot
+    # at most LEAVES rows, each with a set of snapshots
+    changed = F.broadcast(changed.groupBy("leaf").agg(F.collect_set("snapshot").alias("snapshots")))
+    return versions(rows.join(changed, "leaf").where(F.array_contains("snapshots", F.col("snapshot"))))
 
 
 def update_history(history: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
