@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm.conversations import conversation_turns, judge_conversations
+from chronoweave.llm.lookalikes import lookalike_pairs, repair_texts
 from chronoweave.llm.merges import merge_groups
+from chronoweave.llm.mixing import mix_documents, mix_shares
+from chronoweave.llm.tokens import encode_documents
 from chronoweave.sources.tables import scan
 
 _MESSAGE = ("id", "conversation_id", "turn_number", "text", "participant")
@@ -26,7 +29,32 @@ def p5_conversations(spark: SparkSession, base: str) -> DataFrame:
     return conversation_turns(scan(spark, base, "verbatim_chunks", *_MESSAGE), scan(spark, base, "speaker_labels"))
 
 
+def p8_ids(spark: SparkSession, base: str) -> DataFrame:
+    return encode_documents(scan(spark, base, "documents", "doc_id", "text"))
+
+
+def p9_mixture(spark: SparkSession, base: str) -> DataFrame:
+    return mix_documents(scan(spark, base, "documents", "doc_id", "text", "source"), scan(spark, base, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mix_shares(scan(spark, base, "documents", "doc_id", "text", "source"), scan(spark, base, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return lookalike_pairs(scan(spark, base, "documents", "doc_id", "text"))
+
+
+def p10_texts(spark: SparkSession, base: str) -> DataFrame:
+    return repair_texts(scan(spark, base, "documents", "doc_id", "text")).select("doc_id", F.col("same_form").alias("text"))
+
+
 QUERIES = {
+    "p8_ids": p8_ids,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_texts": p10_texts,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_conversations": p5_conversations,
