@@ -9,12 +9,30 @@ from chronoweave.llm.conversations import conversation_turns, judge_conversation
 from chronoweave.llm.lookalikes import lookalike_pairs, repair_texts
 from chronoweave.llm.merges import merge_groups
 from chronoweave.llm.mixing import mix_documents, mix_shares
+from chronoweave.llm.pii import personal_items, without_personal_items
 from chronoweave.llm.tokens import encode_documents
 from chronoweave.sources.tables import scan
 
 _MESSAGE = ("id", "conversation_id", "turn_number", "text", "participant")
 
 
+#: The texts with personal information: table, its id and its text.
+_TEXTS = (("verbatim_chunks", "id", "text"), ("source_refs", "id", "verbatim"))
+
+
+def _from_texts(spark: SparkSession, base: str, operator) -> DataFrame:
+    parts = [operator(scan(spark, base, table, key, text), key, text).withColumn("record_table", F.lit(table)) for table, key, text in _TEXTS]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return _from_texts(spark, base, personal_items).select("record_table", "record_id", "pii_type", "start_char")
+
+
+def p2_texts(spark: SparkSession, base: str) -> DataFrame:
+    return _from_texts(spark, base, without_personal_items).select("record_table", "record_id", "text")
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return merge_groups(scan(spark, base, "entities", "id", "merged_into"))
 
@@ -50,6 +68,8 @@ def p10_texts(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_texts": p2_texts,
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
