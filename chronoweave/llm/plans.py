@@ -11,6 +11,7 @@ from chronoweave.llm.merges import merge_groups
 from chronoweave.llm.mixing import mix_documents, mix_shares
 from chronoweave.llm.pii import personal_items, without_personal_items
 from chronoweave.llm.tokens import encode_documents
+from chronoweave.llm.variants import canonical_forms, variant_pairs
 from chronoweave.sources.tables import scan
 
 _MESSAGE = ("id", "conversation_id", "turn_number", "text", "participant")
@@ -47,6 +48,18 @@ def p5_conversations(spark: SparkSession, base: str) -> DataFrame:
     return conversation_turns(scan(spark, base, "verbatim_chunks", *_MESSAGE), scan(spark, base, "speaker_labels"))
 
 
+def _named(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    return scan(spark, base, "entities", "id", "type", "name", "archived", "merged_into"), scan(spark, base, "entity_aliases", "entity_id", "alias")
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return variant_pairs(*_named(spark, base))
+
+
+def p6_forms(spark: SparkSession, base: str) -> DataFrame:
+    return canonical_forms(*_named(spark, base))
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_documents(scan(spark, base, "documents", "doc_id", "text"))
 
@@ -70,6 +83,8 @@ def p10_texts(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_texts": p2_texts,
+    "p6_found": p6_found,
+    "p6_forms": p6_forms,
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
