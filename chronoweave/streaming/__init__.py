@@ -1 +1 @@
-
+"""Stateful processing of live sessions."""
