@@ -193,7 +193,7 @@ mat AS (SELECT least((SELECT count(*) FROM r) / greatest((SELECT count(*) FROM e
 """
 _TIER2 = _FAST.format(f"""(name_fuzzy * (0.35 - 0.1 * k) + name_phonetic * (0.08 - 0.03 * k) + coalesce(alias_match * (0.25 - 0.05 * k), 0) + type_match * (0.2 - 0.05 * k)
  + least(coalesce(near, 0) / 10.0, 1.0) * (0.02 + 0.1 * k) + coalesce(exp(-{_DAYS.format("last_seen")} / 30.0), 0.5) * (0.05 + 0.03 * k))
- / (0.7 - 0.08 * k + (CASE WHEN alias_match IS NULL THEN 0 ELSE 0.25 - 0.05 * k END))""")
+ / (0.7 - 0.05 * k + (CASE WHEN alias_match IS NULL THEN 0 ELSE 0.25 - 0.05 * k END))""")
 
 
 @query(_SIGNALS + _NEAR + f"SELECT mention_id, entity_id, round({_TIER2}, 6) AS score FROM (SELECT g.*, near FROM g LEFT JOIN near USING (entity_id)), mat")
