@@ -2,7 +2,7 @@
 
 Three steps. Folding brings width forms, ligatures, kinds of blank, invisible characters and composed or
 combining accents to one form. Repair looks at tokens that mix scripts: their look-alike letters are replaced by
-those of the script most of the token's letters have (or the next one), but only if the result occurs in the
+those of the script most of the token's letters have (or of another one), but only if the result occurs in the
 corpus as a token of one script. The key then maps the look-alikes that are left, in whole tokens of one script
 too, to one letter each, so that texts have equal keys exactly if they look the same.
 
@@ -96,10 +96,10 @@ def scripts(token: str) -> list[str]:
 
 
 def substitutes(token: str) -> list[str]:
-    """A mixed-script token in each of its scripts that all its letters have a look-alike in, dominant script first."""
+    """A mixed-script token in each script that all its letters have a look-alike in, dominant script first."""
     plain = unicodedata.normalize("NFD", token)
-    found = []
-    for script in scripts(token):
+    own, found = scripts(token), []
+    for script in [*own, *(s for s in _SCRIPT if s not in own)]:
         changed = "".join(c if _SCRIPT[script].match(c) else _TO[script].get(ord(c), c) for c in plain)
         if len(scripts(changed)) == 1:
             found.append(unicodedata.normalize("NFC", changed))
