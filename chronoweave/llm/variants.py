@@ -27,6 +27,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -161,7 +162,7 @@ Reading = tuple[str, str, str, float]  # main part, side part ('' if unknown), i
 
 def read_person(text: str) -> Reading | None:
     text = re.sub(r'["“”«»(].*?["“”«»)]', " ", text)
-    text = re.sub(r"(?<=[^\W\d_A-ZÀ-Þ])(?=[A-ZÀ-ÞŘŠŽČĎŇŤŁ])", " ", text)  # JoinedWords
+    text = regex.sub(r"(?<=\p{Ll})(?=\p{Lu})", " ", text)  # JoinedWords
     head, comma, rest = text.partition(",")
     words = []
     for part in ([rest, head] if comma else [text]):
