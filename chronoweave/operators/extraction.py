@@ -52,11 +52,12 @@ def parse_relations(answers: DataFrame, entities: DataFrame) -> DataFrame:
 
     source, target, kind = F.trim("r.source"), F.trim("r.target"), F.replace(F.lower(F.trim("r.type")), F.lit(" "), F.lit("_"))
     both = known(source) & known(target)
-    ends = joined.select(
+    stated = joined.where((source != "") & (target != "") & (kind != ""))
+    ends = stated.select(
         "answer_id", "position", F.when(both, source).otherwise(F.coalesce(nearest(source), source)).alias("source"), F.when(both, target).otherwise(F.coalesce(nearest(target), target)).alias("target"),
         kind.alias("type"), _truthy(F.col("r.properties")).alias("properties"),
     )
-    return ends.where("source <> '' and target <> '' and type <> ''")
+    return ends
 
 
 def ask_model(texts: DataFrame, client: Callable[[], Callable[[str], str]]) -> DataFrame:
