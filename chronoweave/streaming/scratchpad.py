@@ -70,8 +70,9 @@ def read_turn(session: str, turn: int, text: str, last_person: str | None, last_
     return rows, last_person, last_name
 
 
-def mention_stream(turns: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """Mentions of a stream of turns (session, turn, text); a session's state ends after ``gap_minutes`` without turns."""
+def mention_stream(turns: DataFrame, event_time: str | None = None, gap: str = "30 minutes", gap_ms: int = 1_800_000) -> DataFrame:
+    """Mentions of a stream of turns (session, turn, text). With a column ``event_time`` a session's state ends once the
+    watermark, ``gap`` behind the newest turn, has passed its last turn by ``gap_ms``; without it sessions do not end."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -79,15 +80,21 @@ def mention_stream(turns: DataFrame, gap_minutes: int = 30) -> DataFrame:
             return
         (stored,) = state.get if state.exists else ("[null, null]",)
         person, name = json.loads(stored)
+        said = pd.concat(batches).sort_values("turn")
         rows: list[tuple] = []
-        for row in pd.concat(batches).sort_values("turn").itertuples():
+        for row in said.itertuples():
             more, person, name = read_turn(key[0], int(row.turn), row.text, person, name)
             rows += more
         state.update((json.dumps([person, name]),))
-        state.setTimeoutDuration(gap_minutes * 60_000)
+        if event_time is not None:
+            newest = int(said[event_time].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + gap_ms)
         yield pd.DataFrame(rows, columns=[field.split()[0] for field in MENTION.split(", ")])
 
-    return turns.groupBy("session").applyInPandasWithState(step, MENTION, "ids string", "append", "ProcessingTimeTimeout")
+    if event_time is not None:
+        turns = turns.withWatermark(event_time, gap)
+    timeout = "NoTimeout" if event_time is None else "EventTimeTimeout"
+    return turns.groupBy("session").applyInPandasWithState(step, MENTION, "ids string", "append", timeout)
 
 
 def maintenance(quick: Callable[[], None], full: Callable[[], None], quick_every: int = 50, full_every: int = 200) -> Callable[[DataFrame, int], None]:
