@@ -67,7 +67,8 @@ def _mix(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     reached = F.sum("tokens").over(Window.partitionBy("mix_name", "source").orderBy("bin"))
     before = reached - F.col("tokens")
     # the bin that the border falls into goes to the nearer side
-    inside = histogram.withColumn("inside", F.abs(reached - F.col("part")) <= F.abs(before - F.col("part"))).where("inside")
+    nearer = (before < F.col("part")) & (F.abs(reached - F.col("part")) <= F.abs(before - F.col("part")))
+    inside = histogram.withColumn("inside", nearer).where("inside")
     borders = inside.groupBy("mix_name", "source").agg(F.max("bin").alias("border"))
     mixed = placed.join(F.broadcast(borders), ["mix_name", "source"], "left")  # one row a row of mix_targets
     repeats = F.col("whole") + F.when(F.col("bin") <= F.col("border"), 1).otherwise(0)
