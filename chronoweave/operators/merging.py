@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.operators.graph import is_current
+from chronoweave.operators.graph import HOT_ROWS, SALTS, is_current
+from chronoweave.operators.skew import salted_lookup
+from chronoweave.sources.tables import cut
 
 
 @dataclass
@@ -23,9 +25,26 @@ class Merged:
 
 
 def merge_pairs(entities: DataFrame) -> DataFrame:
-    """(absorbed_id, survivor_id) of records whose merged_into names a record that is not merged itself."""
-    ends = entities.where("merged_into is null").select(F.col("id").alias("survivor_id"))
-    return entities.where("merged_into is not null").select(F.col("id").alias("absorbed_id"), F.col("merged_into").alias("survivor_id")).join(ends, "survivor_id", "left_semi").select("absorbed_id", "survivor_id")
+    """(absorbed_id, survivor_id) of every absorbed record, however long its chain of merged_into.
+
+    The survivor is the last record of the chain that has a row: one that is not merged, or one whose merged_into names
+    no row and which therefore stays a record of its own. Of a circle the smallest id survives; a self-link merges nothing.
+    Each round doubles the steps taken, so the rounds grow with the logarithm of the longest chain.
+    """
+    rows = entities.select(F.col("id").alias("to"))
+    named = entities.where("merged_into <> id").select("id", F.col("merged_into").alias("to"))
+    steps, before, now = cut(named.join(rows, "to", "left_semi").select("id", "to", F.col("id").alias("low"))), None, ()
+    # unfinished chains, then their distinct places, then the least ids passed stop changing: all are in their circle and have been around it
+    while now != before:
+        ahead = steps.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
+        jumped = salted_lookup(steps, ahead, "to", HOT_ROWS, SALTS, "left")
+        steps = cut(jumped.select("id", F.coalesce("_to", "to").alias("to"), F.least("low", "_low").alias("low"), F.col("_to").isNotNull().alias("_open")))
+        mark = F.sum(F.xxhash64("id", "low").bitwiseAND(F.lit(0x7FFFFFFF)))
+        before, now = now, tuple(steps.where("_open").agg(F.count(F.lit(1)), F.countDistinct("to"), mark).first())
+        steps = steps.drop("_open")
+    circle = steps.select(F.col("id").alias("to"), F.col("low").alias("_low"))
+    ends = salted_lookup(steps.select("id", "to"), circle, "to", HOT_ROWS, SALTS, "left")
+    return cut(ends.select(F.col("id").alias("absorbed_id"), F.coalesce("_low", "to").alias("survivor_id")).where("absorbed_id <> survivor_id"))
 
 
 def _moved(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
@@ -68,18 +87,21 @@ def merged_properties(properties: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def merged_entities(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Survivors with summed access counts and the widest times; absorbed records archived and pointing at them."""
+    """Survivors with summed access counts and the widest times; absorbed records archived and pointing at them. The
+    survivor of a circle no longer points into it."""
     theirs = pairs.join(entities.select(F.col("id").alias("absorbed_id"), "access_count", "last_seen", "created_at"), "absorbed_id")
     sums = theirs.groupBy(F.col("survivor_id").alias("id")).agg(F.sum("access_count").alias("_n"), F.max("last_seen").alias("_seen"), F.min("created_at").alias("_made"))
     gone = pairs.select(F.col("absorbed_id").alias("id"), F.col("survivor_id").alias("_into"))
-    joined = entities.join(sums, "id", "left").join(gone, "id", "left")
+    back = pairs.select(F.col("survivor_id").alias("id"), F.col("absorbed_id").alias("merged_into"))
+    circle = entities.where("merged_into is not null").join(back, ["id", "merged_into"], "left_semi").select("id", F.lit(True).alias("_circle"))
+    joined = entities.join(sums, "id", "left").join(gone, "id", "left").join(circle, "id", "left")
     return joined.withColumns(
         {
             "access_count": F.col("access_count") + F.coalesce("_n", F.lit(0)),
             "last_seen": F.greatest("last_seen", "_seen"),
             "created_at": F.least("created_at", "_made"),
             "archived": F.col("archived") | F.col("_into").isNotNull(),
-            "merged_into": F.coalesce("_into", "merged_into"),
+            "merged_into": F.when(F.col("_circle"), F.lit(None)).otherwise(F.coalesce("_into", "merged_into")),
         }
     ).select(*entities.columns)
 

@@ -141,6 +141,27 @@ def test_merge_and_split(make, rows, now):
         assert rows(back[name].select(*table.columns)) == rows(table)
 
 
+def test_merge_chains_reach_the_last_survivor(make, rows, now):
+    chain = [entity(f"n{i:02}", f"N{i}", merged_into=f"n{i + 1:02}" if i < 11 else None) for i in range(12)]
+    circle = [entity("r", "R", merged_into="q"), entity("q", "Q", merged_into="p"), entity("p", "P", merged_into="r"), entity("t", "T", merged_into="s"), entity("s", "S", merged_into="q")]
+    loose = [entity("d", "D", merged_into="gone"), entity("c", "C", merged_into="d"), entity("x", "X", merged_into="x"), entity("y", "Y")]
+    known = make("entities", *chain, *circle, *loose)
+    pairs = merging.merge_pairs(known)
+    assert rows(pairs) == sorted([(f"n{i:02}", "n11") for i in range(11)] + [(c, "p") for c in "qrst"] + [("c", "d")])
+    assert rows(merging.merge_pairs(make("entities", entity("y", "Y")))) == []
+    names = make("entity_aliases", {"id": "1", "entity_id": "n00", "alias": "first"})
+    links = make("relationships", edge("1", "n00", "y"), edge("2", "t", "n05"))
+    props = make("properties", version("1", "n03", "title", '"VP"'))
+    done = merging.merge(known, names, props, links, pairs, now)
+    assert ("n11", "first") in rows(done.aliases, "entity_id", "alias") and ("n11", "N0") in rows(done.aliases, "entity_id", "alias")
+    assert rows(done.relationships, "id", "source_id", "target_id") == [("1", "n11", "y"), ("2", "p", "n11")]
+    assert rows(done.properties, "id", "entity_id") == [("1", "n11")]
+    assert {r.id: r.merged_into for r in done.entities.collect() if r.id in "pqdx"} == {"p": None, "q": "p", "d": "gone", "x": "x"}
+    back = merging.split(done)
+    for name, table in {"entities": known, "aliases": names, "properties": props, "relationships": links}.items():
+        assert rows(back[name].select(*table.columns)) == rows(table)
+
+
 def test_resolution(make, spark, rows, now):
     known = make("entities", entity("1", "John Smith"), entity("2", "John's Pizza", type="organization"), entity("3", "Robert Brown"))
     names = make("entity_aliases", {"id": "a", "entity_id": "3", "alias": "Bob Brown"})
