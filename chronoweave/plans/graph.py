@@ -176,7 +176,7 @@ _FOUND = "SELECT start_id, entity_id, depth FROM f JOIN e ON e.id = f.entity_id
 
 def _neighbors(s, d, hops, types=()):
     known = entities(s, d)
-    return graph.neighbors(known.where("type = 'event'"), known, relationships(s, d), hops, types)
+    return graph.neighbors(known, known, relationships(s, d), hops, types)
 
 
 @query(_HOPS.format(hops=1, types="") + _FOUND)
@@ -203,7 +203,7 @@ def neighbors_typed(s, d):
 SELECT DISTINCT x.start_id, r.id AS relationship_id FROM r JOIN i x ON x.entity_id = r.source_id JOIN i y ON y.entity_id = r.target_id AND y.start_id = x.start_id""")
 def induced_subgraph(s, d):
     known = entities(s, d)
-    return graph.induced_subgraph(known.where("type = 'event'"), known, relationships(s, d), 1)
+    return graph.induced_subgraph(known, known, relationships(s, d), 1)
 
 
 @query("""SELECT e.id AS entity_id, coalesce(n, 0) AS n_edges, least(coalesce(n, 0) / 20.0, 1.0) AS degree FROM e

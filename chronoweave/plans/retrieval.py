@@ -346,7 +346,7 @@ def counting_question(s, d):
 
 
 def _asked(s, d):
-    return entities(s, d).where("type = 'event' and name is not null").select(F.col("id").alias("query_id"), F.concat(F.lit("tell me about "), "name").alias("text"))
+    return entities(s, d).where("name is not null").select(F.col("id").alias("query_id"), F.concat(F.lit("tell me about "), "name").alias("text"))
 
 
 _IDENTIFY = """, q AS (SELECT id AS query_id, 'tell me about ' || name AS text FROM e WHERE type = 'event' AND name IS NOT NULL),
@@ -394,17 +394,17 @@ def recall_score(s, d):
 def recall_budgeted(s, d):
     found = recall.identify(_asked(s, d), entities(s, d), aliases(s, d))
     facts = recall.expand(found, entities(s, d), properties(s, d), relationships(s, d))
-    return recall.select(recall.score(facts, found, at(NOW)), 200).select("query_id", "taken", "fact_id", "cost")
+    return recall.select(recall.score(facts, found, at(NOW))).select("query_id", "taken", "fact_id", "cost")
 
 
 @query()
 def recall_text(s, d):
-    return recall.recall(_asked(s, d), entities(s, d), aliases(s, d), properties(s, d), relationships(s, d), at(NOW), 200)
+    return recall.recall(_asked(s, d), entities(s, d), aliases(s, d), properties(s, d), relationships(s, d), at(NOW))
 
 
 @query()
 def recall_as_of(s, d):
-    return recall.recall(_asked(s, d), entities(s, d), aliases(s, d), properties(s, d), relationships(s, d), at(NOW), 200, at("2025-01-01 00:00:00"), True)
+    return recall.recall(_asked(s, d), entities(s, d), aliases(s, d), properties(s, d), relationships(s, d), at(NOW), as_of=at("2025-01-01 00:00:00"), strict_as_of=True)
 
 
 @query("""WITH r AS (SELECT coalesce(lang, '?') AS category, coalesce(align_score, 0) >= 0.5 AS ok FROM documents), b AS (SELECT category, count(*) AS n, count_if(ok) AS n_right, count_if(ok) / count(*) AS accuracy FROM r GROUP BY 1)

@@ -88,6 +88,27 @@ def test_neighbors(make, rows):
     assert dict(rows(graph.degree_centrality(known, links), "entity_id", "n_edges"))["A"] == 3
 
 
+def test_registered_reads_start_from_entities_of_every_type(make, spark, rows, tmp_path):
+    from chronoweave.plans import graph as plans
+    from chronoweave.plans import retrieval
+
+    kinds = {"p": "person", "o": "organization", "e": "event"}
+    tables = {
+        "entities": make("entities", *(entity(i, f"Zork{i}", type=kind) for i, kind in kinds.items())),
+        "entity_aliases": make("entity_aliases"),
+        "relationships": make("relationships", edge("1", "p", "o"), edge("2", "o", "e")),
+        "properties": make("properties", *(version(f"v{n}", "p", f"key{n:03}", '"a rather long value of a property"') for n in range(60))),
+    }
+    for name, table in tables.items():
+        table.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    base = str(tmp_path)
+    assert rows(plans.neighbors_1_hop(spark, base), "start_id", "entity_id") == [("e", "o"), ("o", "e"), ("o", "p"), ("p", "o")]
+    assert {r.start_id for r in plans.induced_subgraph(spark, base).collect()} == set(kinds)
+    assert rows(retrieval.recall_identify(spark, base), "query_id", "entity_id") == [(c, c) for c in "eop"]
+    spent = {r.query_id: r.cost for r in retrieval.recall_budgeted(spark, base).groupBy("query_id").agg(F.sum("cost").alias("cost")).collect()}
+    assert set(spent) == set(kinds) and 200 < spent["p"] <= 2000
+
+
 def test_conflict_classes(make, rows):
     refs = make("source_refs", {"id": "strong", "authority": 0.9}, {"id": "weak", "authority": 0.5})
     props = make(
