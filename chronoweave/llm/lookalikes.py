@@ -4,7 +4,7 @@ Three steps. Folding brings width forms, ligatures, kinds of blank, invisible ch
 combining accents to one form. Repair looks at tokens that mix scripts: their look-alike letters are replaced by
 those of the script most of the token's letters have (or of another one), but only if the result occurs in the
 corpus as a token of one script. The key then maps the look-alikes that are left, in whole tokens of one script
-too, to one letter each, so that texts have equal keys exactly if they look the same.
+too, to one letter each, so that texts have equal keys exactly if they look the same; texts of one key get one form.
 
 Letter case, accents, digits, order and the number of visible characters make a difference; so do tabs and line
 breaks, and compatibility forms that look different (superscripts, circled numbers). A zero-width joiner between
@@ -151,8 +151,8 @@ def _replace_batch(texts: pd.Series, repairs: pd.Series) -> pd.Series:
     return pd.Series([replace(t, p) for t, p in zip(texts, repairs, strict=True)])
 
 
-def repair_texts(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, same_form): every document with its text brought to one form."""
+def _repaired(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, same_form): every document folded and its mixed-script tokens repaired."""
     rows = documents.groupBy("doc_id").agg(F.max("text").alias("text"))
     ascii_only = F.col("text").rlike(r"^[\x00-\x7F]*$")
     folded = cut(rows.withColumn("folded", F.when(ascii_only, F.col("text")).otherwise(_fold_batch(F.when(~ascii_only, F.col("text"))))))
@@ -169,12 +169,30 @@ def repair_texts(documents: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", same_form.alias("same_form"))
 
 
+def _look_key(column: str) -> F.Column:
+    ascii_seen = F.col(column).rlike(r"^[\x21-\x7E][\x20-\x7E]*$")
+    return F.md5(F.when(ascii_seen, F.col(column)).otherwise(_look_batch(F.when(~ascii_seen, F.col(column)))))
+
+
+def repair_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, same_form): every document with its text in one form, equal for all texts that look the same.
+
+    Where repair leaves several forms of one look, all get the form of most documents (the smallest on a tie).
+    """
+    repaired = cut(_repaired(documents).withColumn("look", _look_key("same_form")))
+    seen = repaired.where("look is not null")
+    several = seen.groupBy("look").agg(F.min(F.md5("same_form")).alias("lo"), F.max(F.md5("same_form")).alias("hi")).where("lo < hi").select("look")
+    unequal = cut(salted_lookup(seen.select("doc_id", "look", "same_form"), several, "look", HOT_ROWS, SALTS))
+    counts = unequal.groupBy("look", "same_form").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("look").agg(F.min_by("same_form", F.struct(-F.col("n"), F.col("same_form"))).alias("_best"))
+    changed = salted_lookup(unequal.select("doc_id", "look"), best, "look", HOT_ROWS, SALTS).select("doc_id", "_best")
+    return repaired.join(changed, "doc_id", "left").select("doc_id", "text", F.coalesce("_best", "same_form").alias("same_form"))
+
+
 def lookalike_pairs(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b): documents of different characters and the same look, doc_id_a < doc_id_b."""
-    repaired = repair_texts(documents)
-    ascii_seen = F.col("same_form").rlike(r"^[\x21-\x7E][\x20-\x7E]*$")
-    key = F.when(ascii_seen, F.col("same_form")).otherwise(_look_batch(F.when(~ascii_seen, F.col("same_form"))))
-    keyed = cut(repaired.select("doc_id", F.md5("text").alias("t"), F.md5(key).alias("look")).where("look is not null"))
+    repaired = _repaired(documents)
+    keyed = cut(repaired.select("doc_id", F.md5("text").alias("t"), _look_key("same_form").alias("look")).where("look is not null"))
     # copies collapse to one class a text before texts of one look are paired
     several = keyed.groupBy("look").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("look")
     shared = cut(salted_lookup(keyed, several, "look", HOT_ROWS, SALTS))
