@@ -282,11 +282,12 @@ def _typos(forms: DataFrame) -> DataFrame:
     stronger = F.struct("borne", "n", "main") > F.struct(F.col("typo_borne").alias("borne"), F.col("typo_n").alias("n"), F.col("typo").alias("main"))
     met = met.where((F.col("typo") != F.col("main")) & stronger).select("type", "side", "typo", "typo_n", "others", "main", "n", "borne").distinct()
     close = met.withColumn("errors", _errors_batch("typo", "main")).where("errors <= 2")
-    # other side parts speak for a name of its own, unless the candidate has them too: then they are typos as well
+    # other side parts speak for a name of its own, unless the candidate has them too: then they are typos as well;
+    # counts speak by their ratio only, so that records all repeated k times are attributed as before
     shared = close.groupBy("type", "typo", "main").agg(F.count(F.lit(1)).alias("shared"))
     close = close.join(shared, ["type", "typo", "main"])
     explained = F.log("n") + F.col("errors") * TYPO
-    own = F.log("typo_n") + F.when((F.col("others") + 1 > F.col("shared")) | (F.col("typo_n") > 3), 0.0).otherwise(3 * TYPO)
+    own = F.log("typo_n") + F.when(F.col("others") + 1 > F.col("shared"), 0.0).otherwise(3 * TYPO)
     scored = close.withColumn("score", explained - own).where("score > 0")
     best = Window.partitionBy("type", "side", "typo").orderBy(F.desc("score"), F.desc("borne"), "main")
     return scored.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("type", "side", F.col("typo").alias("main"), F.col("main").alias("canonical"))
