@@ -16,7 +16,7 @@ _RELATION = "array<struct<source:string,target:string,type:string,properties:str
 
 def json_array(answer: Column, kind: str) -> Column:
     """The JSON array in an answer: fences dropped, else the outermost brackets; an empty array if there is none."""
-    bare = F.trim(F.regexp_replace(F.trim(answer), r"(?m)^\s*```.*$", ""))
+    bare = F.trim(F.regexp_replace(F.trim(answer), r"(?md)^\s*```.*$", ""))
     opening, closing = F.locate("[", bare), F.length(bare) - F.locate("]", F.reverse(bare)) + 1
     sliced = F.when((opening > 0) & (F.locate("]", bare) > 0) & (closing > opening), bare.substr(opening, closing - opening + 1))
     whole = F.when(F.startswith(bare, F.lit("[")), bare)

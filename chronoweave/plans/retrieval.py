@@ -290,7 +290,7 @@ def hard_delete(s, d):
 def parse_llm_json(s, d):
     rows = chunks(s, d).where("text <> ''").select(
         F.col("chunk_id").alias("answer_id"),
-        F.concat(F.lit("```json\n["), F.to_json(F.struct(F.substring("text", 1, 40).alias("name"), F.col("participant").alias("type"))), F.lit("]\n```")).alias("answer"),
+        F.concat(F.lit("```json\n["), F.to_json(F.struct(F.col("text").alias("name"), F.col("participant").alias("type"))), F.lit("]\n```")).alias("answer"),
     )
     return extraction.parse_entities(rows).select("answer_id", "name", "type")
 
