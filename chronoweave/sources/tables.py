@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition over ``spark.sql.shuffle.partitions`` tasks, which the adaptive planner does not merge again:
+    for steps that compute far longer than their bytes suggest."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def write_parquet(df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite") -> None:
     """Write a snapshot, optionally partitioned."""
     writer = df.write.mode(mode)
