@@ -98,3 +98,27 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, rows: int, salts:
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     copied = right.join(small(hot, count), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return spread.drop("_hot").join(copied, [key, "_salt"], how).drop("_salt")
+
+
+def largest_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): one row a key with the largest of its values.
+
+    Keys alone are counted first; only rows of repeated keys are shuffled with their values, so large texts of
+    keys that occur once stay where they were read. Too many repeated keys to broadcast: all rows are aggregated.
+    """
+    rows = df.select(key, value)
+    repeated = cut(hot_keys(rows.select(key), key, 1).select(F.col(key).alias("_key")))
+    count = repeated.count()
+    if not count:
+        return rows
+    if count > BROADCAST_KEYS:
+        return rows.groupBy(key).agg(F.max(value).alias(value))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    once = rows.join(F.broadcast(repeated), same, "left_anti")
+    return once.unionByName(rows.join(F.broadcast(repeated), same, "left_semi").groupBy(key).agg(F.max(value).alias(value)))
+
+
+def parallel(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer: for slow steps on few bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
