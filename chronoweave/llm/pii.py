@@ -1,8 +1,13 @@
 """Personal information in free text, found by a semi-Markov conditional random field.
 
 A line of text is a row of tokens. Candidate segments of a type (email, phone, id_number, address, name) are
-scored by features of the whole span and its surroundings; every other token is a segment of its own. Dynamic
-programming over the token borders, with a bound on the length of a segment, chooses borders and types together. Weights are learnt by ``pii_training`` and kept beside this file.
+scored by features of the whole span and its surroundings; every other token is a segment of its own. A transition
+weight belongs to each pair of a segment's type and the type of the last item before it. Dynamic programming over
+token borders and last types, with a bound on the length of a segment, chooses borders and types together. Weights
+are learnt by ``pii_training`` and kept beside this file.
+
+Bounds of a segment: NAME_WORDS words of a name, NUMBER_GROUPS groups and 5 to MOST_DIGITS digits of a number,
+BEFORE_STREET and AFTER_STREET tokens (words, blanks and marks) around the street word of an address.
 
 Defined cases: null text stays null and holds no items, and so do empty and blank texts; rows with the same id
 are one record (the largest of its texts); texts are read whole, however long, line by line, so that time grows
@@ -24,20 +29,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from chronoweave.llm.given_names import ABBREVIATED, KNOWN
+from chronoweave.operators.skew import largest_by_key, parallel
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
 #: Bounds of a segment: words of a name, groups of a number, tokens before and after the street word of an address.
-NAME_WORDS = 4
-NUMBER_GROUPS = 14
-BEFORE_STREET, AFTER_STREET = 6, 14
+NAME_WORDS = 5
+NUMBER_GROUPS = 34
+MOST_DIGITS = 34
+BEFORE_STREET, AFTER_STREET = 10, 18
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\s+|.", re.DOTALL)
 _EMAIL = re.compile(r"(?<![\w.+-])[\w][\w.+%-]*(?:@|＠| @ | ?[\[(]at[\])] ?)[\w-]+(?:(?:\.| ?[\[(]dot[\])] ?)[\w-]+)+", re.IGNORECASE)
 _SPOKEN_EMAIL = re.compile(r"(?<![\w.+-])[\w][\w.+%-]* at [\w-]+(?: dot [\w-]+)+", re.IGNORECASE)
 # Words that make a street name, alone or at its end.
-STREET_WORDS = frozenset("street st avenue ave road rd blvd boulevard lane ln drive way court square terrace place rue calle via avenida ulica ul plaza allee platz strasse straße".split())
+STREET_WORDS = frozenset("street st avenue ave road rd blvd boulevard lane ln drive way court square terrace place rue calle via avenida ulica ul plaza allee platz strasse straße crescent close court row parkway pkwy trail circle walk grove gardens hill quay highway mews".split())
 STREET_ENDS = ("straße", "strasse", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer")
+# Words written small inside names.
+PARTICLES = frozenset("van von der den de del della di da dos la le ten ter bin ibn al el".split())
 _LETTER_GROUP = re.compile(r"[A-Z]{1,2}$")
 _JOINERS = frozenset((" ", ", ", ". ", ".", "_", ' "', '" ', "  "))
 
@@ -49,7 +58,8 @@ def plain(word: str) -> str:
 class Line:
     """A line as tokens with their places and classes."""
 
-    def __init__(self, text: str, known: frozenset[str]):
+    def __init__(self, text: str, known: frozenset[str], common: frozenset[str] | None = None):
+        common = known if common is None else common
         self.text = text
         self.tokens, self.starts = [], []
         for match in _TOKEN.finditer(text):
@@ -58,12 +68,12 @@ class Line:
         self.starts.append(len(text))
         self.at = {start: k for k, start in enumerate(self.starts)}
         self.lower = [token.lower() for token in self.tokens]
-        self.kinds = [self._kind(token, lower, known) for token, lower in zip(self.tokens, self.lower, strict=True)]
+        self.kinds = [self._kind(token, lower, known, common) for token, lower in zip(self.tokens, self.lower, strict=True)]
         self.words = [k for k, kind in enumerate(self.kinds) if kind not in ("_", ".")]
         self.place = {k: n for n, k in enumerate(self.words)}
 
     @staticmethod
-    def _kind(token: str, lower: str, known: frozenset[str]) -> str:
+    def _kind(token: str, lower: str, known: frozenset[str], common: frozenset[str]) -> str:
         if token.isspace():
             return "_"
         if token.isdigit():
@@ -78,9 +88,11 @@ class Line:
         if len(token) == 1:
             return case + "i"
         if plain(token) in KNOWN:
-            return case + "g"
+            return case + ("h" if lower in common else "g")  # h: a given name that is a common word too
         if lower in ABBREVIATED:
             return case + "a"
+        if lower in PARTICLES:
+            return case + "p"
         return case + ("v" if lower in known else "x")
 
     def word(self, k: int, step: int) -> tuple[str, str]:
@@ -88,7 +100,7 @@ class Line:
         marks = ""
         while 0 <= k < len(self.tokens):
             if self.kinds[k] not in ("_", "."):
-                return ("#" if self.kinds[k] == "N" else self.lower[k] if self.kinds[k][1] in "vgs" else self.kinds[k]), marks
+                return ("#" if self.kinds[k] == "N" else self.lower[k] if self.kinds[k][1] in "vhps" else self.kinds[k]), marks
             if self.kinds[k] == ".":
                 marks = marks + self.tokens[k] if step > 0 else self.tokens[k] + marks
             k += step
@@ -101,10 +113,15 @@ class Line:
         while k >= 0 and self.kinds[k] in ("_", "."):
             k -= 1
         second = self.word(k - 1, -1)[0] if k >= 0 else "^^"
+        before_class = before if before in ("^", "#") else self.kinds[k][0] if k >= 0 else "^"
+        m = j
+        while m < len(self.tokens) and self.kinds[m] in ("_", "."):
+            m += 1
+        after_class = after if after in ("$", "#") else self.kinds[m][0] if m < len(self.tokens) else "$"
         glued_before = i > 0 and self.kinds[i - 1] != "_"
         glued_after = j < len(self.tokens) and self.kinds[j] not in ("_", ".")
         return [
-            f"p={before}", f"n={after}", f"pp={second} {before}", f"pm={marks_before[-2:]}", f"nm={marks_after[:2]}",
+            f"c={before_class}{marks_before[-1:]} {marks_after[:1]}{after_class}", f"p={before}", f"n={after}", f"pp={second} {before}", f"pm={marks_before[-2:]}", f"nm={marks_after[:2]}",
             f"p={before}{marks_before[-2:]}", f"n={marks_after[:2]}{after}", f"gb={self.tokens[i - 1] if glued_before and self.kinds[i - 1] == '.' else glued_before}", f"ga={glued_after}",
         ]
 
@@ -120,6 +137,13 @@ def _emails(line: Line) -> Iterator[Candidate]:
                 yield i, j, "email", [f"form={form}", *line.around(i, j)]
 
 
+def _after_extension(tokens: list[str], kinds: list[str], m: int) -> int:
+    """The token after the number of an extension (``x12``, ``ext 12``, ``ext. 12``), 0 if there is none."""
+    for mark in (".", " "):
+        m += m < len(tokens) and tokens[m] == mark
+    return m + 1 if m < len(tokens) and kinds[m] == "N" else 0
+
+
 def _number_runs(line: Line) -> Iterator[list[tuple[int, int]]]:
     """Maximal runs of groups (first token, token after) of digits and short capital letters."""
     kinds, tokens, n = line.kinds, line.tokens, len(line.tokens)
@@ -137,9 +161,9 @@ def _number_runs(line: Line) -> Iterator[list[tuple[int, int]]]:
             gap = "".join(tokens[j:m])
             if m < n and gap in ("", " ", "-", ".", "/", " (", ") ", ")", "-(", ")-", " ") and is_group[m]:
                 run.append((m, m + 1))
-            elif m + 1 < n and gap == " " and line.lower[m] in ("x", "ext") and kinds[m + 1] == "N":
-                run.append((m, m + 2))
-                m += 1
+            elif m < n and gap == " " and line.lower[m] in ("x", "ext") and (after := _after_extension(tokens, kinds, m + 1)):
+                run.append((m, after))
+                m = after - 1
             else:
                 break
             j = m + 1
@@ -162,7 +186,7 @@ def _numbers(line: Line) -> Iterator[Candidate]:
                     i -= 1
                     unopened -= tokens[i] == "("
                 digits = sum(len(tokens[k]) for k in range(i, j) if kinds[k] == "N")
-                if not 6 <= digits <= 18:
+                if not 5 <= digits <= MOST_DIGITS:
                     continue
                 shape = "".join(str(len(t)) if kinds[k] == "N" else t if kinds[k] in "._" else "x" if t in ("x", "ext") else "A" * len(t) for k, t in enumerate(tokens[i:j], i))
                 spread = re.sub(r"^(1 )+1$", "1 1*", shape)
@@ -192,13 +216,17 @@ def _addresses(line: Line) -> Iterator[Candidate]:
                 street = inside if len(inside) <= 60 else "long"
                 head = "".join(kinds[m] if kinds[m] not in ("_", ".") else tokens[m] for m in range(i, min(k + 1, i + 6)))
                 tail = "".join(kinds[m] if kinds[m] not in ("_", ".") else tokens[m] for m in range(max(k, j - 4), j))
-                yield i, j, "address", [f"form={street}", f"head={head}", f"tail={tail}", f"numbered={numbered}", f"length={min(j - i, 14)}", *line.around(i, j)]
+                yield i, j, "address", [
+                    f"form={street}", f"head={head}", f"tail={tail}", f"numbered={numbered}", f"length={min(j - i, 14)}", f"before={sum(kinds[m] not in ('_', '.') for m in range(i, k))}",
+                    f"marks={''.join(sorted({tokens[m] for m in range(i, k) if kinds[m] == '.'}))}", f"small={sum(kinds[m] == 'lv' for m in range(i, j))}",
+                    f"stop={any(tokens[m] in '.?!' and kinds[m + 1] == '_' for m in range(i, k))}", *line.around(i, j),
+                ]
 
 
 def _names(line: Line) -> Iterator[Candidate]:
     kinds, tokens = line.kinds, line.tokens
     for x, i in enumerate(line.words):
-        if kinds[i] == "N" or kinds[i][1] in "vsS":
+        if kinds[i] == "N" or kinds[i] in ("lv", "ls", "lS", "lp"):
             continue
         form, bare, j = kinds[i], kinds[i][1], i + 1
         for step in range(NAME_WORDS):
@@ -207,7 +235,7 @@ def _names(line: Line) -> Iterator[Candidate]:
                     break
                 m = line.words[x + step]
                 gap = "".join(tokens[j:m])
-                if gap not in _JOINERS or kinds[m] == "N" or kinds[m][1] in "vsS":
+                if gap not in _JOINERS or kinds[m] == "N" or kinds[m] in ("lv", "ls", "lS"):
                     break
                 form, bare, j = f"{form}{gap}{kinds[m]}", f"{bare}{gap}{kinds[m][1]}", m + 1
             end = j
@@ -216,7 +244,7 @@ def _names(line: Line) -> Iterator[Candidate]:
             around = line.around(i, end)
             longer = line.words[x + step + 1] if x + step + 1 < len(line.words) else None
             follows = kinds[longer] if longer is not None and "".join(tokens[j:longer]) == " " else "-"
-            yield i, end, "name", [f"form={form}", f"bare={bare}", f"one={step == 0} {kinds[i]}", f"words={step}", f"follows={follows}", *around, f"bare={bare} {around[0]}", f"bare={bare} {around[1]}"]
+            yield i, end, "name", [f"form={form}", f"bare={bare}", f"one={step == 0} {kinds[i]}", f"words={step}", f"follows={follows}", *around, f"bare={bare} {around[0]}", f"form={form} {around[0]}", f"bare={bare} {around[1]}", f"bare={bare} {around[2]}"]
 
 
 def candidates(line: Line) -> Iterator[Candidate]:
@@ -226,11 +254,19 @@ def candidates(line: Line) -> Iterator[Candidate]:
     yield from _names(line)
 
 
+START = "none"  # the state before the first item of a line
+STATES = (START, *TYPES)
+
+
 class Model:
-    """Weights of features by type, and the words known from training."""
+    """Weights of features by type and of transitions, and the words known from training."""
 
     def __init__(self, weights: dict[str, dict[str, float]], known: frozenset[str]):
         self.weights, self.known = weights, known
+        self.steps = {(a, b): weights.get(b, {}).get(f"after={a}", 0.0) for a in STATES for b in TYPES}
+        # a segment can be part of the best only if its score, the best step to it and the best change of the next
+        # step are positive together
+        self.bound = {b: max(self.steps[a, b] for a in STATES) + max(0.0, *(self.steps[b, c] - min(self.steps[a, c] for a in STATES) for c in TYPES)) for b in TYPES}
         self.items = lru_cache(maxsize=100_000)(self._items)
 
     @classmethod
@@ -247,25 +283,30 @@ class Model:
         line = Line(text, self.known)
         starting: dict[int, list[tuple[int, str, float]]] = {}
         for i, j, kind, features in candidates(line):
-            if (score := self.score(kind, features)) > 0.0:  # any other token scores 0, so no less can be part of the best
+            if (score := self.score(kind, features)) + self.bound[kind] > 0.0:
                 starting.setdefault(i, []).append((j, kind, score))
         if not starting:
             return ()
         n = len(line.tokens)
-        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(-1.0, 0, "")] * n  # score up to a border, where its last segment began
+        # by border and type of the last item: score, border and type before, type of the segment that ends here
+        best: list[dict[str, tuple[float, int, str, str]]] = [{} for _ in range(n + 1)]
+        best[0][START] = (0.0, 0, START, "")
         for i in range(n):
-            score = best[i][0]
-            if best[i + 1][0] < score:
-                best[i + 1] = (score, i, "")
-            for j, kind, own in starting.get(i, ()):
-                if best[j][0] < score + own:
-                    best[j] = (score + own, i, kind)
+            onward = best[i + 1]
+            for last, (score, *_) in best[i].items():
+                if last not in onward or onward[last][0] < score:
+                    onward[last] = (score, i, last, "")
+                for j, kind, own in starting.get(i, ()):
+                    reached = score + own + self.steps[last, kind]
+                    if kind not in best[j] or best[j][kind][0] < reached:
+                        best[j][kind] = (reached, i, last, kind)
         at, found = n, []
+        last = max(best[n], key=lambda state: best[n][state][0])
         while at > 0:
-            _, began, kind = best[at]
+            _, began, before, kind = best[at][last]
             if kind:
                 found.append((line.starts[began], line.starts[at], kind))
-            at = began
+            at, last = began, before
         return tuple(reversed(found))
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
@@ -305,8 +346,8 @@ def _read_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def read_texts(records: DataFrame, record_id: str, text: str) -> DataFrame:
     """(record_id, text, items, clean) with one row a record."""
-    once = records.groupBy(F.col(record_id).alias("record_id")).agg(F.max(text).alias("text"))
-    return once.withColumn("read", _read_batch("text")).select("record_id", "text", "read.items", "read.clean")
+    once = largest_by_key(records.select(F.col(record_id).alias("record_id"), F.col(text).alias("text")), "record_id", "text")
+    return parallel(once).withColumn("read", _read_batch("text")).select("record_id", "text", "read.items", "read.clean")
 
 
 def personal_items(records: DataFrame, record_id: str, text: str) -> DataFrame:
