@@ -37,6 +37,23 @@ o AS (SELECT *, max(e) OVER (PARTITION BY source_id ORDER BY s, e ROWS BETWEEN U
 """
 
 SQL = {
+    "p1_found": """
+WITH v AS (
+  SELECT id, entity_id, key, epoch_us(as_of) AS since, epoch_us(recorded_at) AS learnt,
+         CASE WHEN value_json IS NULL THEN NULL
+              WHEN NOT json_valid(value_json) THEN 's' || lower(trim(value_json))
+              WHEN json_type(value_json) = 'NULL' THEN NULL
+              WHEN json_type(value_json) = 'VARCHAR' THEN 's' || lower(trim(json_extract_string(value_json, '$')))
+              WHEN json_type(value_json) IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') THEN 'n' || CAST(CAST(value_json AS DOUBLE) AS VARCHAR)
+              WHEN json_type(value_json) = 'OBJECT' THEN 'o' || CAST(list_sort(list_transform(json_keys(value_json),
+                   lambda k: k || ':' || regexp_replace(CAST(json_extract(value_json, '$."' || k || '"') AS VARCHAR), '[.]0$', ''))) AS VARCHAR)
+              ELSE 'j' || CAST(json(value_json) AS VARCHAR) END AS value
+  FROM properties WHERE entity_id <> '' AND key IS NOT NULL AND as_of IS NOT NULL),
+h AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY entity_id, key, since ORDER BY learnt DESC NULLS LAST, id DESC) = 1),
+c AS (SELECT *, lag(value) OVER (PARTITION BY entity_id, key ORDER BY since) AS previous FROM h),
+n AS (SELECT *, lead(since) OVER (PARTITION BY entity_id, key ORDER BY since) AS until FROM c WHERE value IS DISTINCT FROM previous)
+SELECT entity_id, key AS property_key, id AS property_id, since AS valid_from_us, coalesce(until, -1) AS valid_to_us FROM n WHERE value IS NOT NULL
+""",
     "p4_found": """
 SELECT access_id, property_key, property_id FROM (
   SELECT a.id AS access_id, p.key AS property_key, p.id AS property_id, p.value_json,
