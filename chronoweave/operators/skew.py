@@ -36,7 +36,7 @@ class TimeShards:
             .agg(F.count(F.lit(1)).alias("_n"), F.min(time).alias("_lo"), F.max(time).alias("_hi"))
             .where((F.col("_n") > rows_per_shard) & (F.col("_hi") > F.col("_lo")))
         )
-        wanted = F.least(F.ceil(F.col("_n") / rows_per_shard) * cells_per_shard, F.lit(1 << 20))
+        wanted = F.ceil(F.col("_n") / rows_per_shard) * cells_per_shard
         spans = spans.select(key, "_lo", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / wanted)).alias("_width"))
         self.spans = cut(spans)
         self.count = self.spans.count()
@@ -57,29 +57,28 @@ class TimeShards:
         self.cells = cut(packed.join(self.shards.select(key, "_slot", "shard"), [key, "_slot"]).select(key, "_cell", "shard"))
         self.cell_count = self.cells.count()
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        """``df`` (the rows the shards were made of) with a column ``shard``."""
+    def attach(self, df: DataFrame, time: str | None = None, shard: str = "shard") -> DataFrame:
+        """``df`` with a column ``shard`` by ``time``, one of the times the shards were made of (null: no shard)."""
         if not self.count:
-            return df.withColumn("shard", F.lit(0))
-        cell = F.floor((F.col(self.time) - F.col("_lo")) / F.col("_width"))
-        spread = df.join(small(self.spans, self.count), self.key, "left").withColumn("_cell", cell).drop("_lo", "_width")
-        cells = small(self.cells, self.cell_count // 8)
-        return spread.join(cells, [self.key, "_cell"], "left").withColumn("shard", F.coalesce("shard", F.lit(0))).drop("_cell")
+            return df.withColumn(shard, F.lit(0))
+        cell = F.floor((F.col(time or self.time) - F.col("_lo")) / F.col("_width"))
+        spread = df.join(small(self.spans, self.count), self.key, "left").withColumn("_cell", cell)
+        cells = small(self.cells.withColumnRenamed("shard", shard), self.cell_count // 8)
+        found = spread.join(cells, [self.key, "_cell"], "left")
+        return found.withColumn(shard, F.when(F.col("_lo").isNull(), F.lit(0)).otherwise(F.col(shard))).drop("_cell", "_lo", "_width")
 
     def replicate(self, intervals: DataFrame, start: str, end: str) -> DataFrame:
         """Rows valid from ``start`` to ``end`` (null: open) copied into every shard of their key they reach into.
 
         A version that began before a shard arrives in it as that shard's carry-in. Other keys: one copy, shard 0.
+        Both ends are looked up as cells, so no row carries a list of shards.
         """
         if not self.count:
             return intervals.withColumn("shard", F.lit(0))
-        bounds = self.shards.groupBy(self.key).agg(F.array_sort(F.collect_list(F.struct("shard", "shard_from", "shard_to"))).alias("_shards"))
-        spread = intervals.join(small(bounds, self.count), self.key, "left")
-        reached = F.filter(
-            "_shards",
-            lambda s: (s.shard_from.isNull() | F.col(end).isNull() | (s.shard_from < F.col(end))) & (s.shard_to.isNull() | (s.shard_to > F.col(start))),
-        )
-        return spread.withColumn("shard", F.explode(F.coalesce(F.transform(reached, lambda s: s.shard), F.array(F.lit(0))))).drop("_shards")
+        last = self.shards.groupBy(self.key).agg(F.max("shard").alias("_last"))
+        reach = self.attach(self.attach(intervals, start, "_from"), end, "_to").join(small(last, self.count), self.key, "left")
+        until = F.coalesce("_to", "_last", F.lit(0))
+        return reach.withColumn("shard", F.explode(F.sequence(F.col("_from"), until))).drop("_from", "_to", "_last")
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, rows: int, salts: int, how: str = "inner") -> DataFrame:

@@ -149,6 +149,14 @@ def test_attributes_at_events(spark, properties, rows, monkeypatch, per_shard):
     assert rows(asof.attributes_at_events(log, properties(data), per_shard)) == sorted(want, key=repr)
 
 
+def test_few_events_of_many_versions(spark, rows):
+    """200,000 versions of one entity are sharded and merged; the ten events meet the version before each."""
+    first, step = 1_700_000_000, 60
+    versions = spark.range(200_000).selectExpr("concat('v', lpad(id, 7, '0')) as id", "'hot' as entity_id", "'k' as key", "cast(id as string) as value_json", f"timestamp_seconds({first} + id * {step}) as as_of", f"timestamp_seconds({first} + id * {step}) as recorded_at")
+    events = spark.range(10).selectExpr("concat('a', id) as id", "'hot' as entity_id", f"timestamp_seconds({first} + id * {step} * 20000 + 30) as timestamp")
+    assert rows(asof.attributes_at_events(events, versions)) == [(f"a{k}", "k", f"v{k * 20000:07}") for k in range(10)]
+
+
 @pytest.mark.parametrize("per_shard", [3, 20, 1 << 18])
 def test_gaps_and_periods(spark, rows, per_shard):
     pick = random.Random(5)
