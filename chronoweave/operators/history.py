@@ -26,6 +26,8 @@ FANOUT_BITS = 4
 #: Rows a leaf holds on average; the number of leaves is the power of the fan-out next above rows / LEAF_ROWS.
 LEAF_ROWS = 64
 SNAPSHOT_DAYS = 90
+#: Pairs of snapshot and leaf (16 bytes each) up to which those pruned are broadcast; beyond it they are joined.
+PRUNED_BROADCAST = 200_000
 #: A (entity, key) of more statements than this is cut into time shards.
 ROWS_PER_SHARD = 1 << 18
 
@@ -50,30 +52,34 @@ def statements(properties: DataFrame, depth: int) -> DataFrame:
 
 
 def changes_of_state(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``change``: 0 if the state as known when it was recorded stays the same, 1 if it goes on with
-    another value, 2 if earlier times are rewritten."""
-    shards = TimeShards(rows, "group", "recorded_us", ROWS_PER_SHARD)
-    group = ["entity_id", "key", "shard"]
-    rows = shards.attach(rows).withColumn("told", F.struct("as_of_us", "recorded_us", "id", "value"))
+    """(leaf, snapshot, mark, change) of every row: change is 0 if the state as known when it was recorded stays the
+    same, 1 if it goes on with another value, 2 if earlier times are rewritten; mark is a hash of the row.
+
+    Only what the comparison needs is shuffled: (entity_id, key) as two hashes, the value as one.
+    """
+    light = rows.select("group", F.xxhash64("key", "entity_id").alias("other"), "leaf", "snapshot", "as_of_us", "recorded_us", "id", F.when(F.col("value").isNotNull(), F.xxhash64("value")).alias("value"))
+    shards = TimeShards(light, "group", "recorded_us", ROWS_PER_SHARD)
+    group = ["group", "other", "shard"]
+    light = shards.attach(light).withColumn("told", F.struct("as_of_us", "recorded_us", "id", "value"))
     order = Window.partitionBy(*group).orderBy("recorded_us", "as_of_us", "id")
-    rows = rows.withColumn("known", F.max("told").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    light = light.withColumn("known", F.max("told").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     if shards.count:
-        best = rows.groupBy(*group).agg(F.max("told").alias("best"))
-        before = Window.partitionBy("entity_id", "key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        best = light.groupBy(*group).agg(F.max("told").alias("best"))
+        before = Window.partitionBy("group", "other").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         carried = best.withColumn("carry", F.max("best").over(before)).drop("best")
-        rows = rows.join(carried, group).withColumn("known", F.greatest("known", "carry")).drop("carry")
+        light = light.join(carried, group).withColumn("known", F.greatest("known", "carry")).drop("carry")
     same = F.col("value").eqNullSafe(F.col("known.value"))
     later = F.col("known").isNull() | (F.col("as_of_us") > F.col("known.as_of_us"))
     again = (F.col("as_of_us") == F.col("known.as_of_us")) & (F.col("id") == F.col("known.id"))
     change = F.when(same & (later | again), 0).when(later, 1).otherwise(2)
-    return rows.withColumn("change", change).drop("shard", "told", "known")
+    return light.select("leaf", "snapshot", F.xxhash64("id", "value", "as_of_us", "recorded_us").alias("mark"), change.alias("change"))
 
 
 def leaf_digests(rows: DataFrame) -> DataFrame:
     """(snapshot, leaf, digest, rewritten): what each snapshot adds to the state of each leaf.
 
     Every change of state adds at least 1, so none can go unseen; a snapshot of repeats adds 0."""
-    digest = F.xxhash64("id", "value", "as_of_us", "recorded_us").bitwiseAND(F.lit(0x7FFFFFFF)) + 1
+    digest = F.col("mark").bitwiseAND(F.lit(0x7FFFFFFF)) + 1
     return rows.groupBy("snapshot", "leaf").agg(F.sum(F.when(F.col("change") > 0, digest).otherwise(0)).alias("digest"), F.max(F.col("change") == 2).alias("rewritten"))
 
 
@@ -137,14 +143,14 @@ def rows_to_diff(rows: DataFrame, compared: DataFrame, differing: DataFrame) ->
     pairs = compared.join(differing.withColumn("differs", F.lit(True)), ["snapshot", "leaf"], "left")
     last = F.max(F.when(F.col("differs") & F.col("rewritten"), F.col("snapshot"))).over(Window.partitionBy("leaf"))
     pruned = cut(pairs.withColumn("last", last).where("differs is null and (last is null or snapshot > last)").select("snapshot", "leaf"))
-    return rows.join(small(pruned, pruned.count()), ["snapshot", "leaf"], "left_anti")
+    return rows.join(small(pruned, pruned.count(), PRUNED_BROADCAST), ["snapshot", "leaf"], "left_anti")
 
 
 def build_history(properties: DataFrame) -> DataFrame:
     """The full history from all snapshots: leaves that differ between consecutive snapshots, diffed into versions."""
     depth = tree_depth(properties.select("id").count())
-    rows = changes_of_state(statements(properties, depth))
-    compared = cut(cumulative(leaf_digests(rows)))
+    rows = statements(properties, depth)
+    compared = cut(cumulative(leaf_digests(changes_of_state(rows))))
     return versions(rows_to_diff(rows, compared, differing_leaves(compared, depth)))
 
 

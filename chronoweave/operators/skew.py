@@ -16,9 +16,9 @@ def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
 
 
-def small(df: DataFrame, count: int) -> DataFrame:
-    """Hint a broadcast only where the counted size is within the bound."""
-    return F.broadcast(df) if count <= BROADCAST_KEYS else df
+def small(df: DataFrame, count: int, most: int | None = None) -> DataFrame:
+    """Hint a broadcast only where the counted size is within the bound (``most`` for rows of two numbers)."""
+    return F.broadcast(df) if count <= (most or BROADCAST_KEYS) else df
 
 
 class TimeShards:
