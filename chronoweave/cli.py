@@ -23,6 +23,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     merge = commands.add_parser("merge")
     merge.add_argument("absorbed")
     merge.add_argument("survivor")
+    commands.add_parser("merges")
+    commands.add_parser("undo-merge").add_argument("log_id", nargs="+")
     commands.add_parser("stats")
     commands.add_parser("conflicts")
     commands.add_parser("consolidate").add_argument("--quick", action="store_true")
@@ -50,6 +52,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         store.snapshot(a.as_of).show(200, False)
     elif a.command == "merge":
         store.merge(spark.createDataFrame([(a.absorbed, a.survivor)], "absorbed_id string, survivor_id string"))
+    elif a.command == "merges":
+        store.table("merge_log").drop("undo_data").show(200, False)
+    elif a.command == "undo-merge":
+        store.undo_logged(a.log_id)
     elif a.command == "stats":
         store.health().show()
     elif a.command == "conflicts":

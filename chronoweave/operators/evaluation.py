@@ -64,3 +64,35 @@ def end_of_day(date: Column) -> Column:
 
 def noon(date: Column) -> Column:
     return F.try_to_timestamp(F.concat(date, F.lit("T12:00:00")))
+
+
+def recall_averages(results: DataFrame, category: str, entity_recall: str, fact_recall: str) -> DataFrame:
+    """(category, n, entity_recall, fact_recall): averages by category, and over all questions as 'overall'."""
+    averages = [F.count(F.lit(1)).alias("n"), F.avg(entity_recall).alias("entity_recall"), F.avg(fact_recall).alias("fact_recall")]
+    return results.groupBy(F.col(category).alias("category")).agg(*averages).unionByName(results.agg(F.lit("overall").alias("category"), *averages))
+
+
+def failure_counts(failures: DataFrame, failure: str = "failure") -> DataFrame:
+    """(failure, n, share): how often each class of failure occurs, and its share in percent; classes without a row count 0."""
+    classes = failures.sparkSession.createDataFrame([("RETRIEVAL_MISS",), ("ANSWER_ERROR",), ("JUDGE_DISAGREEMENT",)], "failure string")
+    counts = failures.groupBy(F.col(failure).alias("failure")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("_all"))
+    joined = classes.join(counts, "failure", "left").join(total, F.lit(True))  # three rows and one
+    return joined.select("failure", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(100.0 * F.col("n") / F.col("_all"), F.lit(0.0)).alias("share"))
+
+
+def with_references(results: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """Results joined to the references of the same question; results without one drop out."""
+    return results.join(references, key)
+
+
+def shared_haystack(questions: DataFrame, sessions: str) -> DataFrame:
+    """(shared): whether two or more questions all ask of the same, non-null list of sessions."""
+    shared = (F.count(F.lit(1)) > 1) & (F.count(sessions) == F.count(F.lit(1))) & (F.min(F.md5(F.to_json(F.struct(sessions)))) == F.max(F.md5(F.to_json(F.struct(sessions)))))
+    return questions.agg(F.coalesce(shared, F.lit(False)).alias("shared"))
+
+
+def value_as_of_month(changes: DataFrame, keys: list[str], month: str, value: str, asked: str) -> DataFrame:
+    """(keys, value): the value of the latest month at or before the month asked for, of equal months the largest value."""
+    known = changes.where(F.col(month) <= F.col(asked))
+    return known.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(month, value)).alias("value"))

@@ -37,6 +37,12 @@ def classify(properties: DataFrame, source_refs: DataFrame) -> DataFrame:
     return told.withColumn("conflict_type", kind).drop("existing", "existing_as_of")
 
 
+def boost_confirmed(classified: DataFrame, by: float = 0.05) -> DataFrame:
+    """Classified versions; one that confirms an earlier one gains ``by`` of confidence, up to 1."""
+    confirms = (F.col("conflict_type") == "confirmation") & F.col("existing_id").isNotNull()
+    return classified.withColumn("confidence", F.when(confirms, F.least(F.lit(1.0), F.col("confidence") + by)).otherwise(F.col("confidence")))
+
+
 def conflicts(properties: DataFrame, source_refs: DataFrame) -> DataFrame:
     """Conflict rows (unresolved) of the contradictions: value_a is what was held, value_b what was said."""
     found = classify(properties, source_refs).where("conflict_type = 'contradiction'")

@@ -124,6 +124,34 @@ def merge(entities: DataFrame, aliases: DataFrame, properties: DataFrame, relati
     )
 
 
+_ISO = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_PARTS = ("entities", "aliases", "properties", "relationships")
+
+
+def pre_images(before: dict[str, DataFrame], pairs: DataFrame) -> DataFrame:
+    """(absorbed_id, survivor_id, undo_data): for each pair one JSON value of all rows the merge changed, so that the
+    log alone is enough to take the merge back."""
+    ends = pairs.select("absorbed_id", "survivor_id", F.explode(F.array("absorbed_id", "survivor_id")).alias("_end"))
+    edges = before["relationships"]
+    located = {
+        "entities": before["entities"].withColumn("_end", F.col("id")), "aliases": before["aliases"].withColumn("_end", F.col("entity_id")), "properties": before["properties"].withColumn("_end", F.col("entity_id")),
+        "relationships": edges.withColumn("_end", F.explode(F.array_distinct(F.array("source_id", "target_id")))),
+    }
+    out = pairs
+    for name, rows in located.items():
+        held = ends.join(rows, "_end").groupBy("absorbed_id", "survivor_id").agg(F.collect_set(F.struct(*before[name].columns)).alias(name))
+        out = out.join(held, ["absorbed_id", "survivor_id"], "left")
+    return out.select("absorbed_id", "survivor_id", F.to_json(F.struct(*_PARTS), _ISO).alias("undo_data"))
+
+
+def from_log(log: DataFrame, tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The pre-images and pairs of merge-log rows; ``tables`` give the shape of the rows."""
+    shape = ", ".join(f"{name}: array<{tables[name].select(*tables[name].columns).schema.simpleString()}>" for name in _PARTS)
+    kept = log.select("survivor_id", "absorbed_id", F.from_json("undo_data", f"struct<{shape}>", _ISO).alias("_was"))
+    before = {name: kept.select(F.explode(f"_was.{name}").alias("_row")).select("_row.*").dropDuplicates(["id"]) for name in _PARTS}
+    return before, kept.select("absorbed_id", "survivor_id")
+
+
 def split(merged: Merged) -> dict[str, DataFrame]:
     """The tables as they were before the merge: pre-images instead of the rows that took their place."""
     touched = merged.pairs.select(F.explode(F.array("absorbed_id", "survivor_id")).alias("id")).distinct()

@@ -41,8 +41,8 @@ def source_refs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _grouped(table: str, keep: str, newest: str = "") -> str:
-    picked = ", ".join([f"min({c}) AS {c}" for c in keep.split()] + [f"max({c}) AS {c}" for c in newest.split()])
-    return f"(SELECT id, {picked} FROM {table} GROUP BY id)"
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in [*newest.split(), *keep.split()])
+    return f"(SELECT id, {', '.join([*keep.split(), *newest.split()])} FROM {table} QUALIFY row_number() OVER (PARTITION BY id ORDER BY {order}) = 1)"
 
 
 #: The tables with one row a record, for the SQL side.
@@ -167,7 +167,7 @@ def edge_endpoints(s, d):
     return joined.select("relationship_id", "source_name", F.coalesce("_target", F.substring("target_id", 1, 8)).alias("target_name"), shown.alias("type_shown"))
 
 
-_HOPS = """, n(start_id, entity_id, depth) AS (SELECT id, id, 0 FROM e WHERE type = 'event'
+_HOPS = """, n(start_id, entity_id, depth) AS (SELECT id, id, 0 FROM e
 UNION SELECT n.start_id, sym.other_id, n.depth + 1 FROM n JOIN sym ON sym.entity_id = n.entity_id WHERE n.depth < {hops}{types}),
 f AS (SELECT start_id, entity_id, min(depth) AS depth FROM n GROUP BY ALL)
 """
@@ -273,6 +273,12 @@ def prune_orphans(s, d):
     return consolidation.orphans(entities(s, d), relationships(s, d), at(NOW)).select("id", "confidence")
 
 
+@query("SELECT id, confidence FROM e WHERE NOT archived AND confidence < 0.7 AND " + _DAYS.format("last_seen") + " >= 1 AND id NOT IN (SELECT entity_id FROM sym WHERE entity_id IS NOT NULL)")
+def orphan_candidates(s, d):
+    """Orphans at limits that some entities of any table stay under."""
+    return consolidation.orphans(entities(s, d), relationships(s, d), at(NOW), 0.7, 1).select("id", "confidence")
+
+
 @query(_CLASSES + _DECAY + """SELECT value_a_id, value_b_id, CASE WHEN resolution IS NULL THEN 'unresolved' ELSE 'auto_resolved' END AS status, resolution FROM (
 SELECT c.existing_id AS value_a_id, c.id AS value_b_id, CASE WHEN x.confidence < 0.2 AND y.confidence < 0.2 THEN 'Both values decayed'
   WHEN x.confidence < 0.2 THEN printf('Value A decayed to %.2f', x.confidence) WHEN y.confidence < 0.2 THEN printf('Value B decayed to %.2f', y.confidence) END AS resolution
@@ -283,7 +289,15 @@ def auto_resolve_contradictions(s, d):
     return consolidation.resolve_contradictions(facts.conflicts(rows, source_refs(s, d)), decayed, at(NOW)).select("value_a_id", "value_b_id", "status", "resolution")
 
 
-@query()
+@query(_CLASSES + _DECAY + f""", mg AS (SELECT d.id, CASE WHEN rank > 1 THEN least(1.0, confidence + 0.1) ELSE confidence END AS confidence, coalesce(next_id, superseded_by_id) AS superseded_by_id FROM decayed d LEFT JOIN
+(SELECT v.id AS vid, lead(v.id) OVER w AS next_id, row_number() OVER w AS rank FROM v JOIN e ON e.id = v.entity_id
+ WHERE superseded_by_id IS NULL AND NOT archived WINDOW w AS (PARTITION BY entity_id, key, same ORDER BY recorded_at, v.id)) ON vid = d.id),
+lost AS (SELECT id FROM e WHERE NOT archived AND confidence < 0.2 AND {_DAYS.format('last_seen')} >= 90 AND id NOT IN (SELECT entity_id FROM sym WHERE entity_id IS NOT NULL))
+SELECT (SELECT count(*) FROM mg WHERE superseded_by_id IS NULL) AS current_properties, (SELECT round(avg(confidence), 6) FROM mg) AS avg_confidence,
+(SELECT count(*) FROM e WHERE archived OR id IN (SELECT id FROM lost)) AS archived_entities,
+(SELECT count(*) FROM c LEFT JOIN mg x ON x.id = c.existing_id LEFT JOIN mg y ON y.id = c.id WHERE conflict_type = 'contradiction' AND (x.confidence < 0.2 OR y.confidence < 0.2)) AS auto_resolved,
+(SELECT round(avg(least(coalesce(n, 0) / 20.0, 1.0)), 6) FROM e LEFT JOIN (SELECT entity_id, count(DISTINCT id) AS n FROM sym GROUP BY 1) z ON z.entity_id = e.id
+ WHERE NOT archived AND e.id NOT IN (SELECT id FROM lost)) AS avg_degree""")
 def consolidate_full(s, d):
     rows, known, edges = properties(s, d), entities(s, d), relationships(s, d)
     done = consolidation.run_full(known, rows, edges, facts.conflicts(rows, source_refs(s, d)), at(NOW))
@@ -294,6 +308,11 @@ def consolidate_full(s, d):
     return counts.join(archived, F.lit(True)).join(resolved, F.lit(True)).join(central, F.lit(True))  # one row each
 
 
+@query(_CLASSES + "SELECT id, round(CASE WHEN conflict_type = 'confirmation' AND existing_id IS NOT NULL THEN least(1.0, confidence + 0.05) ELSE confidence END, 6) AS confidence FROM c")
+def confirmed_confidence(s, d):
+    return facts.boost_confirmed(facts.classify(properties(s, d), source_refs(s, d))).select("id", F.round("confidence", 6).alias("confidence"))
+
+
 @query("""SELECT * FROM (SELECT entity_id, 'property' AS event, p.id AS event_id, key AS label, epoch_us(recorded_at) AS at_us, name FROM p JOIN e ON e.id = p.entity_id WHERE NOT archived
 UNION ALL SELECT source_id, 'relationship', r.id, r.type, epoch_us(valid_from), name FROM r JOIN e ON e.id = r.source_id WHERE NOT archived)
 ORDER BY at_us DESC NULLS LAST, event_id LIMIT 500""")

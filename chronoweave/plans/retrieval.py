@@ -33,7 +33,8 @@ def access_log(s, d):
     return one_record(scan(s, d, "access_log"))
 
 
-_CHUNKS = """, c AS (SELECT id AS chunk_id, min(conversation_id) AS conversation_id, min(turn_number) AS turn_number, min(text) AS text, min(participant) AS participant FROM verbatim_chunks GROUP BY id)
+_CHUNKS = """, c AS (SELECT id AS chunk_id, conversation_id, turn_number, text, participant FROM verbatim_chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY
+  conversation_id DESC NULLS LAST, turn_number DESC NULLS LAST, text DESC NULLS LAST, timestamp DESC NULLS LAST, participant DESC NULLS LAST, source_type DESC NULLS LAST) = 1)
 """
 _TOKENS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
 _READ = _CHUNKS + f""", t AS (SELECT chunk_id, coalesce({_TOKENS.format("text")}, []) AS terms FROM c),
@@ -100,15 +101,30 @@ def bm25_terms(s, d):
     return search.bm25_terms(_organizations(s, d), chunks(s, d).select("chunk_id", "text")).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
-@query()
+_PLACES = "list_transform({}, lambda w: CAST('0x' || md5(w)[1:6] AS INT) % 8)"
+_COUNTED = "list_transform(range(8), lambda i: len(list_filter({}, lambda p: p = i))::DOUBLE)"
+_UNIT = "list_transform({0}, lambda v: CASE WHEN list_sum(list_transform({0}, lambda z: z * z)) > 0 THEN v / sqrt(list_sum(list_transform({0}, lambda z: z * z))) ELSE 0.0 END)"
+_HASHED = f"""qe AS (SELECT query_id, {_UNIT.format("n")} AS qv FROM (SELECT query_id, {_COUNTED.format(_PLACES.format("asked"))} AS n FROM q)),
+ce AS (SELECT chunk_id, {_UNIT.format("n")} AS cv FROM (SELECT chunk_id, {_COUNTED.format(_PLACES.format("terms"))} AS n FROM t JOIN c USING (chunk_id) WHERE text IS NOT NULL)),
+far AS (SELECT query_id, chunk_id, round(sqrt(greatest(0, list_sum(list_transform(list_zip(qv, cv), lambda p: (p[1] - p[2]) ** 2)))), 6) AS distance FROM qe, ce)
+"""
+
+
+@query(_PHRASE + ", " + _HASHED + """, lists AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) - 1 AS rank FROM far QUALIFY rank < 10
+UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) - 1 AS rank FROM b QUALIFY rank < 10)
+SELECT query_id, chunk_id, round(score, 9) AS score FROM (SELECT query_id, chunk_id, round(sum(1.0 / (61 + rank)), 12) AS score FROM lists GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10""")
 def rrf_hybrid(s, d):
     asked = _organizations(s, d)
-    own = scan(s, d, "verbatim_chunks", "id", "embedding").where("embedding is not null").dropDuplicates(["id"]).withColumnRenamed("id", "chunk_id")
-    near = search.vector_top_k(asked.select("query_id", search.hash_embedding(F.col("text")).cast("array<float>").alias("embedding")), own)
+    texts = chunks(s, d).where("text is not null").select("chunk_id", search.hash_embedding(F.col("text")).alias("embedding"))
+    near = search.vector_top_k(asked.select("query_id", search.hash_embedding(F.col("text")).alias("embedding")), texts)
     return search.fuse(near, search.bm25_phrase(asked, chunks(s, d).select("chunk_id", "text"))).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(_PHRASE + """, hit AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) - 1 AS rank FROM b QUALIFY rank < 10),
+fst AS (SELECT query_id, conversation_id, min(rank) AS first FROM hit JOIN c USING (chunk_id) WHERE conversation_id <> '' GROUP BY 1, 2),
+kept AS (SELECT query_id, conversation_id, row_number() OVER (PARTITION BY query_id ORDER BY first, conversation_id) - 1 AS conversation_rank FROM fst QUALIFY conversation_rank < 5)
+SELECT query_id, conversation_rank, conversation_id, turn_number, chunk_id FROM kept JOIN c USING (conversation_id)""")
 def verbatim_conversations(s, d):
     found = search.bm25_phrase(_organizations(s, d), chunks(s, d).select("chunk_id", "text"))
     return search.expand_conversations(found, chunks(s, d))
@@ -210,7 +226,21 @@ def resolve_decisions(s, d):
     return resolution.decide(_mentions(s, d), resolution.tier1_scores(_signals(s, d)[0]))
 
 
-_MERGES = """, mp AS (SELECT x.id AS absorbed_id, y.id AS survivor_id FROM e x JOIN e y ON y.id = x.merged_into AND y.merged_into IS NULL)
+@query(_SIGNALS + _NEAR + f""", sc AS (SELECT *, round({_TIER2}, 9) AS score FROM (SELECT g.*, near FROM g LEFT JOIN near USING (entity_id)), mat),
+b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, entity_id) = 1), k AS (SELECT * FROM b WHERE type_match > 0 AND score >= 0.85)
+SELECT m.mention_id, CASE WHEN k.entity_id IS NULL THEN 'create' ELSE 'merge' END AS action, k.entity_id, round(score, 6) AS confidence,
+  CASE WHEN k.name <> entity_name AND coalesce(alias_match, 0) < 1 THEN k.name END AS add_alias FROM m LEFT JOIN k USING (mention_id)""")
+def resolve_tier2_decisions(s, d):
+    found, known = _signals(s, d)
+    return resolution.decide(_mentions(s, d), resolution.tier2_scores(found, entities(s, d), relationships(s, d), at(NOW)))
+
+
+# chains are walked to their last record; of a circle the smallest id survives
+_MERGES = """, nxt AS (SELECT x.id, x.merged_into AS onto FROM e x JOIN e y ON y.id = x.merged_into WHERE x.merged_into <> x.id),
+walk(id, place, path) AS (SELECT id, onto, [id] FROM nxt UNION ALL SELECT w.id, n.onto, list_append(w.path, w.place) FROM walk w JOIN nxt n ON n.id = w.place WHERE NOT list_contains(w.path, w.place)),
+fin AS (SELECT id, arg_max(place, len(path)) AS place, arg_max(path, len(path)) AS path FROM walk GROUP BY id),
+mp0 AS (SELECT id AS absorbed_id, CASE WHEN list_contains(path, place) THEN list_min(path[list_position(path, place):]) ELSE place END AS survivor_id FROM fin),
+mp AS (SELECT * FROM mp0 WHERE absorbed_id <> survivor_id)
 """
 
 
@@ -222,6 +252,15 @@ def merge_entities_aliases(s, d):
     return merging.merged_aliases(known, aliases(s, d), merging.merge_pairs(known))
 
 
+@query(_MERGES + """, g AS (SELECT survivor_id, sum(access_count) AS n, max(last_seen) AS seen, min(created_at) AS made FROM mp JOIN e ON e.id = absorbed_id GROUP BY 1)
+SELECT e.id, name, access_count + coalesce(n, 0) AS access_count, epoch_us(greatest(last_seen, seen)) AS last_seen_us, epoch_us(least(created_at, made)) AS created_us, archived OR mp.survivor_id IS NOT NULL AS archived,
+CASE WHEN mp.survivor_id IS NOT NULL THEN mp.survivor_id WHEN EXISTS (SELECT 1 FROM mp z WHERE z.survivor_id = e.id AND z.absorbed_id = e.merged_into) THEN NULL ELSE merged_into END AS merged_into
+FROM e LEFT JOIN g ON g.survivor_id = e.id LEFT JOIN mp ON mp.absorbed_id = e.id""")
+def merge_entities_rows(s, d):
+    known = entities(s, d)
+    return merging.merged_entities(known, merging.merge_pairs(known)).select("id", "name", "access_count", micros("last_seen").alias("last_seen_us"), micros("created_at").alias("created_us"), "archived", "merged_into")
+
+
 @query(_MERGES + """, mv AS (SELECT r.id, coalesce(x.survivor_id, source_id) AS source_id, coalesce(y.survivor_id, target_id) AS target_id, type, confidence, x.survivor_id IS NOT NULL OR y.survivor_id IS NOT NULL AS moved
   FROM r LEFT JOIN mp x ON x.absorbed_id = source_id LEFT JOIN mp y ON y.absorbed_id = target_id),
 kept AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY moved, id) AS n, max(CASE WHEN moved THEN confidence END) OVER (PARTITION BY source_id, target_id, type) AS best FROM mv WHERE NOT (moved AND source_id = target_id))
@@ -251,7 +290,7 @@ def split_roundtrip(s, d):
     return out
 
 
-_LOG = ", l AS (SELECT id, min(entity_id) AS entity_id FROM access_log GROUP BY id)\n"
+_LOG = ", l AS (SELECT id, entity_id FROM access_log QUALIFY row_number() OVER (PARTITION BY id ORDER BY entity_id DESC NULLS LAST) = 1)\n"
 
 
 def _counted(name: str, source: str) -> str:
@@ -286,7 +325,8 @@ def hard_delete(s, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query()
+@query(_CHUNKS + """SELECT chunk_id AS answer_id, trim(text) AS name, CASE WHEN lower(trim(participant)) IN ('person', 'organization', 'project', 'concept', 'location', 'event')
+THEN lower(trim(participant)) ELSE 'concept' END AS type FROM c WHERE trim(text) <> ''""")
 def parse_llm_json(s, d):
     rows = chunks(s, d).where("text <> ''").select(
         F.col("chunk_id").alias("answer_id"),
@@ -295,6 +335,14 @@ def parse_llm_json(s, d):
     return extraction.parse_entities(rows).select("answer_id", "name", "type")
 
 
+@query(_CHUNKS + """SELECT chunk_id AS answer_id, trim(participant) AS source, trim(conversation_id) AS target, 'said_in' AS type FROM c WHERE trim(participant) <> '' AND trim(conversation_id) <> ''""")
+def parse_llm_relations(s, d):
+    told = chunks(s, d).where("participant is not null").select(F.col("chunk_id").alias("answer_id"), "participant", "conversation_id")
+    said = F.to_json(F.array(F.struct(F.col("participant").alias("source"), F.col("conversation_id").alias("target"), F.lit(" Said In ").alias("type"))))
+    names = told.select("answer_id", F.lit(0).alias("position"), F.trim("participant").alias("name"))
+    return extraction.parse_relations(told.select("answer_id", F.concat(F.lit("Relations: "), said, F.lit(" as asked.")).alias("answer")), names).select("answer_id", "source", "target", "type")
+
+
 def _turns(s, d):
     return chunks(s, d).where("conversation_id <> '' and text is not null").groupBy(F.col("conversation_id").alias("session"), F.col("turn_number").alias("turn")).agg(F.min("text").alias("text"))
 
@@ -349,7 +397,7 @@ def _asked(s, d):
     return entities(s, d).where("name is not null").select(F.col("id").alias("query_id"), F.concat(F.lit("tell me about "), "name").alias("text"))
 
 
-_IDENTIFY = """, q AS (SELECT id AS query_id, 'tell me about ' || name AS text FROM e WHERE type = 'event' AND name IS NOT NULL),
+_IDENTIFY = """, q AS (SELECT id AS query_id, 'tell me about ' || name AS text FROM e WHERE name IS NOT NULL),
 pr AS (SELECT query_id, 0 AS step, text AS probe FROM q UNION ALL SELECT query_id, step, w FROM (SELECT query_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS step FROM
   (SELECT query_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: len(w) > 2) AS ws FROM q))),
 hit AS (SELECT query_id, entity_id, min(step) AS step FROM pr JOIN surfaces ON contains(lower(surface), lower(probe)) GROUP BY 1, 2),
@@ -381,8 +429,8 @@ def recall_expand(s, d):
     return facts.select("query_id", "fact_id", "entity_id", "target_id", F.round("confidence", 9).alias("confidence"))
 
 
-@query(_EXPAND + f"""SELECT query_id, fact_id, round(confidence * (0.4 * CASE WHEN x.entity_id IS NOT NULL THEN 1.0 WHEN y.entity_id IS NOT NULL THEN 0.8 ELSE 0.3 END
- + 0.3 * coalesce(exp(-greatest(0, {_DAYS.format("recorded_at")}) / 30.0), 0.5) + 0.3 * confidence), 6) AS score
+@query(_EXPAND + f"""SELECT query_id, fact_id, round(round(confidence * (0.4 * CASE WHEN x.entity_id IS NOT NULL THEN 1.0 WHEN y.entity_id IS NOT NULL THEN 0.8 ELSE 0.3 END
+ + 0.3 * coalesce(exp(-greatest(0, {_DAYS.format("recorded_at")}) / 30.0), 0.5) + 0.3 * confidence), 9), 6) AS score
 FROM once LEFT JOIN found x USING (query_id, entity_id) LEFT JOIN found y ON y.query_id = once.query_id AND y.entity_id = target_id""")
 def recall_score(s, d):
     found = recall.identify(_asked(s, d), entities(s, d), aliases(s, d))
@@ -402,6 +450,13 @@ def recall_text(s, d):
     return recall.recall(_asked(s, d), entities(s, d), aliases(s, d), properties(s, d), relationships(s, d), at(NOW))
 
 
+@query()
+def recall_with_raw_text(s, d):
+    asked = _organizations(s, d)
+    told = recall.raw_text(asked, chunks(s, d))
+    return recall.recall(asked, entities(s, d), aliases(s, d), properties(s, d), relationships(s, d), at(NOW), verbatim=told)
+
+
 @query()
 def recall_as_of(s, d):
     return recall.recall(_asked(s, d), entities(s, d), aliases(s, d), properties(s, d), relationships(s, d), at(NOW), as_of=at("2025-01-01 00:00:00"), strict_as_of=True)
@@ -448,3 +503,40 @@ def session_texts(s, d):
     labelled = chunks(s, d).where("conversation_id <> ''").withColumn("label", F.regexp_replace(F.lower("participant"), r"(?U)^\s+|[\s:]+$", ""))
     known = scan(s, d, "speaker_labels").select("label", F.col("speaker_role").alias("role"))
     return evaluation.session_text(labelled.join(F.broadcast(known), "label"))  # a fixed list of labels
+
+
+_JUDGED = "SELECT coalesce(lang, '?') AS category, least(greatest(coalesce(align_score, 0), 0), 1) AS fact_recall, CASE WHEN text IS NOT NULL THEN 1.0 ELSE 0.0 END AS entity_recall FROM documents"
+
+
+@query(f"""WITH j AS ({_JUDGED}) SELECT category, count(*) AS n, round(avg(entity_recall), 6) AS entity_recall, round(avg(fact_recall), 6) AS fact_recall FROM j GROUP BY 1
+UNION ALL SELECT 'overall', count(*), round(avg(entity_recall), 6), round(avg(fact_recall), 6) FROM j""", clean=False)
+def eval_recall_averages(s, d):
+    bounded = F.least(F.greatest(F.coalesce("align_score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    judged = scan(s, d, "documents").select(F.coalesce("lang", F.lit("?")).alias("c"), F.col("text").isNotNull().cast("double").alias("entities"), bounded.alias("facts"))
+    found = evaluation.recall_averages(judged, "c", "entities", "facts")
+    return found.select("category", "n", F.round("entity_recall", 6).alias("entity_recall"), F.round("fact_recall", 6).alias("fact_recall"))
+
+
+@query("WITH x AS (" + SQL["failure_classification"].replace("WITH f AS", "WITH f AS", 1) + """), k(failure) AS (VALUES ('RETRIEVAL_MISS'), ('ANSWER_ERROR'), ('JUDGE_DISAGREEMENT'))
+SELECT failure, count(doc_id) AS n, round(100.0 * count(doc_id) / (SELECT count(*) FROM x), 6) AS share FROM k LEFT JOIN x USING (failure) GROUP BY 1""", clean=False)
+def failure_counts(s, d):
+    return evaluation.failure_counts(failure_classification(s, d)).select("failure", "n", F.round("share", 6).alias("share"))
+
+
+@query("SELECT d.doc_id, d.source, m.mix_name, m.max_repeats FROM documents d JOIN (SELECT DISTINCT mix_name, source, max_repeats FROM mix_targets) m ON m.source = d.source", clean=False)
+def eval_with_references(s, d):
+    references = scan(s, d, "mix_targets", "mix_name", "source", "max_repeats").distinct()
+    return evaluation.with_references(scan(s, d, "documents", "doc_id", "source"), references, "source").select("doc_id", "source", "mix_name", "max_repeats")
+
+
+@query("SELECT count(*) > 1 AND count(conversation_id) = count(*) AND min(coalesce(conversation_id, '')) = max(coalesce(conversation_id, '')) AS shared FROM verbatim_chunks", clean=False)
+def shared_haystack(s, d):
+    return evaluation.shared_haystack(scan(s, d, "verbatim_chunks", "conversation_id"), "conversation_id")
+
+
+@query("""SELECT entity_id, key, value_json AS value FROM p WHERE value_json IS NOT NULL AND as_of IS NOT NULL AND strftime(as_of, '%Y-%m') <= '2024-06'
+QUALIFY row_number() OVER (PARTITION BY entity_id, key ORDER BY strftime(as_of, '%Y-%m') DESC, value_json DESC) = 1""")
+def value_as_of_month(s, d):
+    told = properties(s, d).where("value_json is not null and as_of is not null").withColumn("month", F.date_format("as_of", "yyyy-MM")).withColumn("asked", F.lit("2024-06"))
+    return evaluation.value_as_of_month(told, ["entity_id", "key"], "month", "value_json", "asked")
+

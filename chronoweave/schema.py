@@ -36,9 +36,11 @@ TABLES = {
 
 
 def one_record(df: DataFrame, newest: tuple[str, ...] = ()) -> DataFrame:
-    """One row an id: repeated rows are one record, with the largest of the ``newest`` columns and the smallest of the others."""
-    rest = [c for c in df.columns if c != "id"]
-    return df.groupBy("id").agg(*((F.max if c in newest else F.min)(c).alias(c) for c in rest))
+    """One row an id, a whole one: of repeated rows the largest by the ``newest`` columns, then by the others in
+    their order; null counts as smallest."""
+    rest = [*newest, *(c for c in df.columns if c != "id" and c not in newest)]
+    picked = df.groupBy("id").agg(F.max(F.struct(*rest)).alias("_row"))
+    return picked.select("id", *(F.col(f"_row.{c}").alias(c) for c in df.columns if c != "id"))
 
 
 def _bad_value(df: DataFrame, table: str, column: str, allowed: tuple[str, ...]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -32,6 +33,13 @@ class Settings:
     full_every: int = consolidation.FULL_EVERY
     client: Callable[[], Callable[[str], str]] = field(default_factory=lambda: extraction.canned_client({}))
 
+    @classmethod
+    def from_environment(cls, environment: dict[str, str] | None = None, prefix: str = "CHRONOWEAVE_") -> Settings:
+        """The usual values, overridden by variables such as CHRONOWEAVE_TOKEN_BUDGET; unset and empty ones say nothing."""
+        found = os.environ if environment is None else environment
+        kinds = {"high": float, "low": float, "token_budget": int, "quick_every": int, "full_every": int}
+        return cls(**{name: kind(found[prefix + name.upper()]) for name, kind in kinds.items() if found.get(prefix + name.upper())})
+
 
 def _id() -> Column:
     return F.expr("uuid()")
@@ -136,6 +144,39 @@ class MemoryStore:
         )
         return counts
 
+    def create_entities(self, new: DataFrame, now: dt.datetime | None = None) -> DataFrame:
+        """Insert entities (name, type, and optionally aliases, confidence); names need not be unique, aliases of one
+        entity are. Returns (id, name, type)."""
+        moment = self._now(now)
+        given = {"aliases": F.array().cast("array<string>"), "confidence": F.lit(1.0)}
+        rows = cut(new.select("name", "type", *(F.col(c) if c in new.columns else default.alias(c) for c, default in given.items())).withColumn("id", _id()))
+        made = rows.select("id", "type", "name", moment.alias("created_at"), moment.alias("last_seen"), F.lit(0).cast("bigint").alias("access_count"), "confidence", F.lit(False).alias("archived"), F.lit(None).cast("string").alias("merged_into"))
+        called = rows.select(F.col("id").alias("entity_id"), F.explode(F.array_distinct("aliases")).alias("alias")).select(_id().alias("id"), "entity_id", "alias", moment.alias("added_at"))
+        self.append(entities=made, entity_aliases=called)
+        return rows.select("id", "name", "type")
+
+    def create_relationships(self, new: DataFrame, now: dt.datetime | None = None) -> DataFrame:
+        """Insert edges (source_id, target_id, type, and optionally valid_from, valid_to, source_ref_id, confidence) as
+        they are, without looking for equal ones. Returns (id, source_id, target_id, type)."""
+        given = {"valid_from": self._now(now), "valid_to": F.lit(None).cast("timestamp"), "source_ref_id": F.lit(None).cast("string"), "confidence": F.lit(1.0)}
+        columns = (F.col(c) if c in new.columns else default.alias(c) for c, default in given.items())
+        rows = cut(new.select("source_id", "target_id", "type", *columns).withColumn("id", _id()).withColumn("access_count", F.lit(0).cast("bigint")))
+        self.append(relationships=rows)
+        return rows.select("id", "source_id", "target_id", "type")
+
+    def upsert_source_refs(self, new: DataFrame) -> None:
+        """Insert sources whose id is not there yet; those that are stay as they are."""
+        known = self.table("source_refs")
+        fresh = schema.one_record(new.select(*schema.TABLES["source_refs"].fieldNames())).join(known.select("id"), "id", "left_anti")
+        self.append(source_refs=cut(fresh))
+
+    def store_text(self, texts: DataFrame, embed: bool = True, source_type: str = "conversation", now: dt.datetime | None = None) -> None:
+        """Keep texts (conversation_id, turn_number, text, participant) without reading them; without ``embed`` they
+        are found by their words only."""
+        vector = search.hash_embedding(F.col("text")).cast("array<float>") if embed else F.lit(None).cast("array<float>")
+        rows = texts.select(_id().alias("id"), "conversation_id", "turn_number", "text", self._now(now).alias("timestamp"), "participant", F.lit(source_type).alias("source_type"), vector.alias("embedding"))
+        self.append(verbatim_chunks=cut(rows))
+
     def set_properties(self, new: DataFrame) -> None:
         """Append versions (entity_id, key, value_json, as_of, recorded_at, source_ref_id, confidence)."""
         rows = cut(new.withColumn("id", _id()).withColumn("superseded_by_id", F.lit(None).cast("string")))
@@ -162,11 +203,22 @@ class MemoryStore:
         pairs = cut(pairs.select("absorbed_id", "survivor_id"))
         done = merging.merge(self.table("entities"), self.table("entity_aliases"), self.table("properties"), self.table("relationships"), pairs, moment)
         done.before = {name: cut(df) for name, df in done.before.items()}
-        was = done.before["entities"].select(F.col("id").alias("absorbed_id"), F.to_json(F.struct("*")).alias("undo_data"))
-        log = pairs.join(was, "absorbed_id", "left").select(_id().alias("id"), "survivor_id", "absorbed_id", moment.alias("timestamp"), F.lit(reason).alias("reason"), "undo_data")
+        log = merging.pre_images(done.before, pairs).select(_id().alias("id"), "survivor_id", "absorbed_id", moment.alias("timestamp"), F.lit(reason).alias("reason"), "undo_data")
         self.replace(entities=done.entities, entity_aliases=done.aliases, properties=done.properties, relationships=done.relationships, merge_log=self.table("merge_log").unionByName(log))
         return done
 
+    def undo_logged(self, log_ids: list[str]) -> None:
+        """Take merges back by the ids of their log rows. A survivor's merges must be taken back from the last on, as
+        the pre-image of each is the state before it; so those of one call go together."""
+        log = self.table("merge_log")
+        chosen = cut(log.where(F.col("id").isin(*log_ids)))
+        later = log.join(chosen.groupBy("survivor_id").agg(F.min("timestamp").alias("_first")), "survivor_id").where(F.col("timestamp") >= F.col("_first"))
+        if chosen.count() != len(set(log_ids)) or later.join(chosen.select("id"), "id", "left_anti").count():
+            raise ValueError("unknown merges, or later ones of the same survivor that are not taken back")
+        tables = {"entities": self.table("entities"), "aliases": self.table("entity_aliases"), "properties": self.table("properties"), "relationships": self.table("relationships")}
+        before, pairs = merging.from_log(chosen, tables)
+        self.undo_merge(merging.Merged(*tables.values(), {name: cut(rows) for name, rows in before.items()}, cut(pairs)))
+
     def undo_merge(self, done: merging.Merged) -> None:
         now = merging.Merged(self.table("entities"), self.table("entity_aliases"), self.table("properties"), self.table("relationships"), done.before, done.pairs)
         back = merging.split(now)
@@ -204,7 +256,9 @@ class MemoryStore:
 
     def recall(self, queries: DataFrame, as_of: dt.datetime | None = None, strict_as_of: bool = False, budget: int | None = None, now: dt.datetime | None = None) -> DataFrame:
         moment = None if as_of is None else F.lit(as_of).cast("timestamp")
-        return recall.recall(queries, self.table("entities"), self.table("entity_aliases"), self.table("properties"), self.table("relationships"), self._now(now), budget or self.settings.token_budget, moment, strict_as_of)
+        kept = self.table("verbatim_chunks").withColumnRenamed("id", "chunk_id")
+        told = recall.raw_text(queries, kept if moment is None else kept.where(F.col("timestamp") <= moment))
+        return recall.recall(queries, self.table("entities"), self.table("entity_aliases"), self.table("properties"), self.table("relationships"), self._now(now), budget or self.settings.token_budget, moment, strict_as_of, told)
 
     def recall_entity(self, entity_id: str, depth: int = 2) -> DataFrame:
         """The entity and its neighbours up to ``depth``, hydrated."""

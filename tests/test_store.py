@@ -50,6 +50,60 @@ def test_store(spark, tmp_path, rows):
     assert store.entity_list().count() == 0
 
 
+def test_plain_writes_and_undo_from_the_log(spark, tmp_path, rows):
+    path = f"file://{tmp_path}/store"
+    store = MemoryStore(spark, path, Settings.from_environment({"CHRONOWEAVE_TOKEN_BUDGET": "300", "CHRONOWEAVE_HIGH": ""}))
+    assert store.settings.token_budget == 300 and store.settings.high == Settings().high
+    new = spark.createDataFrame([("Ada", "person", ["A.", "A."]), ("Ada", "person", []), ("Bo", "person", [])], "name string, type string, aliases array<string>")
+    made = sorted(store.create_entities(new, dt.datetime(2025, 1, 1, 0, 0, 0, 123456)).collect(), key=lambda r: (r.name, r.id))
+    assert store.table("entities").count() == 3 and store.table("entity_aliases").count() == 1
+    one, two, bo = (r.id for r in made)
+    edge = spark.createDataFrame([(one, bo, "knows"), (one, bo, "knows"), (two, bo, "knows"), (two, one, "knows")], "source_id string, target_id string, type string")
+    store.create_relationships(edge, dt.datetime(2025, 1, 2))
+    assert store.table("relationships").count() == 4
+    refs = spark.createDataFrame([("s1", "c", 1, None, "explicit", "x", 1.0), ("s1", "c", 1, None, "explicit", "x", 1.0)], store.table("source_refs").schema)
+    store.upsert_source_refs(refs)
+    store.upsert_source_refs(refs.withColumn("verbatim", F.lit("other")))
+    assert rows(store.table("source_refs"), "id", "verbatim") == [("s1", "x")]
+    texts = spark.createDataFrame([("c", 1, "Ada sells bicycles", "user")], "conversation_id string, turn_number int, text string, participant string")
+    store.store_text(texts)
+    store.store_text(texts, embed=False)
+    assert rows(store.table("verbatim_chunks").select(F.col("embedding").isNull())) == [(False,), (True,)]
+    asked = spark.createDataFrame([("q", "bicycles")], "query_id string, text string")
+    assert "Ada sells bicycles" in store.recall(asked).first().text
+    store.set_properties(spark.createDataFrame([(one, "k", "1", None), (two, "k", "2", None)], "entity_id string, key string, value_json string, source_ref_id string").withColumn("as_of", F.lit(dt.datetime(2025, 1, 1))).withColumn("recorded_at", F.lit(dt.datetime(2025, 1, 1))).withColumn("confidence", F.lit(1.0)))
+    names = ("entities", "entity_aliases", "properties", "relationships")
+    was = {name: rows(store.table(name)) for name in names}
+    store.merge(spark.createDataFrame([(two, one)], "absorbed_id string, survivor_id string"), "same", dt.datetime(2025, 2, 1))
+    middle = {name: rows(store.table(name)) for name in names}
+    store.merge(spark.createDataFrame([(bo, one)], "absorbed_id string, survivor_id string"), "wrong", dt.datetime(2025, 3, 1))
+    # as after a restart: another store object, only the log
+    store = MemoryStore(spark, path)
+    log = {r.absorbed_id: r.id for r in store.table("merge_log").collect()}
+    with pytest.raises(ValueError):
+        store.undo_logged([log[two]])
+    store.undo_logged([log[bo]])
+    assert {name: rows(store.table(name)) for name in names} == middle and store.table("merge_log").count() == 1
+    store.undo_logged([log[two]])
+    assert {name: rows(store.table(name)) for name in names} == was and store.table("merge_log").count() == 0
+
+
+def test_evaluation_extras(spark, rows):
+    from chronoweave.operators import evaluation
+
+    q = spark.createDataFrame([("1", ["a", "b"]), ("2", ["a", "b"])], "id string, sessions array<string>")
+    assert evaluation.shared_haystack(q, "sessions").first().shared and not evaluation.shared_haystack(q.limit(1), "sessions").first().shared
+    assert not evaluation.shared_haystack(q.unionByName(spark.createDataFrame([("3", None)], q.schema)), "sessions").first().shared
+    moved = spark.createDataFrame([("x", 1, "a"), ("x", 3, "b"), ("x", 5, "c"), ("y", 9, "d")], "who string, month int, value string").withColumn("asked", F.lit(4))
+    assert rows(evaluation.value_as_of_month(moved, ["who"], "month", "value", "asked")) == [("x", "b")]
+    none = spark.createDataFrame([], "failure string")
+    assert rows(evaluation.failure_counts(none)) == [("ANSWER_ERROR", 0, 0.0), ("JUDGE_DISAGREEMENT", 0, 0.0), ("RETRIEVAL_MISS", 0, 0.0)]
+    from chronoweave.schema import one_record
+
+    twice = spark.createDataFrame([("i", 1, "z"), ("i", 2, "a"), ("i", 2, None)], "id string, n int, t string")
+    assert rows(one_record(twice, ("n",))) == [("i", 2, "a")] and rows(one_record(twice.select("id", "t", "n"))) == [("i", "z", 1)]
+
+
 def test_sinks(spark, tmp_path, rows):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n long")
     tables.append_json(df, f"{tmp_path}/j")
