@@ -70,9 +70,11 @@ class Line:
         self.lower = [token.lower() for token in self.tokens]
         self.kinds = [self._kind(token, lower, known, common) for token, lower in zip(self.tokens, self.lower, strict=True)]
         self.words = [k for k, kind in enumerate(self.kinds) if kind not in ("_", ".")]
-        self.place = {k: n for n, k in enumerate(self.words)}
+        self.seen_before: dict[int, tuple[str, str, str, str, str]] = {}
+        self.seen_after: dict[int, tuple[str, str, str, str]] = {}
 
     @staticmethod
+    @lru_cache(maxsize=200_000)
     def _kind(token: str, lower: str, known: frozenset[str], common: frozenset[str]) -> str:
         if token.isspace():
             return "_"
@@ -106,24 +108,45 @@ class Line:
             k += step
         return "^" if step < 0 else "$", marks
 
-    def around(self, i: int, j: int) -> list[str]:
-        before, marks_before = self.word(i - 1, -1)
-        after, marks_after = self.word(j, 1)
-        k = i - 1
-        while k >= 0 and self.kinds[k] in ("_", "."):
-            k -= 1
-        second = self.word(k - 1, -1)[0] if k >= 0 else "^^"
-        before_class = before if before in ("^", "#") else self.kinds[k][0] if k >= 0 else "^"
-        m = j
-        while m < len(self.tokens) and self.kinds[m] in ("_", "."):
-            m += 1
-        after_class = after if after in ("$", "#") else self.kinds[m][0] if m < len(self.tokens) else "$"
-        glued_before = i > 0 and self.kinds[i - 1] != "_"
-        glued_after = j < len(self.tokens) and self.kinds[j] not in ("_", ".")
-        return [
-            f"c={before_class}{marks_before[-1:]} {marks_after[:1]}{after_class}", f"p={before}", f"n={after}", f"pp={second} {before}", f"pm={marks_before[-2:]}", f"nm={marks_after[:2]}",
-            f"p={before}{marks_before[-2:]}", f"n={marks_after[:2]}{after}", f"gb={self.tokens[i - 1] if glued_before and self.kinds[i - 1] == '.' else glued_before}", f"ga={glued_after}",
-        ]
+    def before(self, i: int) -> tuple[str, str, str, str, str]:
+        """What stands before token i: word, marks, class, the word before that, and what is glued to it."""
+        if i not in self.seen_before:
+            word, marks = self.word(i - 1, -1)
+            k = i - 1
+            while k >= 0 and self.kinds[k] in ("_", "."):
+                k -= 1
+            second = self.word(k - 1, -1)[0] if k >= 0 else "^^"
+            kind = word if word in ("^", "#") else self.kinds[k][0] if k >= 0 else "^"
+            glued = i > 0 and self.kinds[i - 1] != "_"
+            self.seen_before[i] = word, marks, kind, second, str(self.tokens[i - 1] if glued and self.kinds[i - 1] == "." else glued)
+        return self.seen_before[i]
+
+    def after(self, j: int) -> tuple[str, str, str, str]:
+        """What stands from token j on: word, marks, class, and whether it is glued."""
+        if j not in self.seen_after:
+            word, marks = self.word(j, 1)
+            m = j
+            while m < len(self.tokens) and self.kinds[m] in ("_", "."):
+                m += 1
+            kind = word if word in ("$", "#") else self.kinds[m][0] if m < len(self.tokens) else "$"
+            self.seen_after[j] = word, marks, kind, str(j < len(self.tokens) and self.kinds[j] not in ("_", "."))
+        return self.seen_after[j]
+
+    def between(self, i: int, j: int) -> str:
+        """The classes on both sides together."""
+        _, marks_before, kind_before, *_ = self.before(i)
+        _, marks_after, kind_after, _ = self.after(j)
+        return f"c={kind_before}{marks_before[-1:]} {marks_after[:1]}{kind_after}"
+
+    def left(self, i: int) -> list[str]:
+        """Features of what stands before token i, the same for all segments that begin there."""
+        before, marks, _, second, glued = self.before(i)
+        return [f"p={before}", f"pp={second} {before}", f"pm={marks[-2:]}", f"p={before}{marks[-2:]}", f"gb={glued}"]
+
+    def right(self, j: int) -> list[str]:
+        """Features of what stands from token j on, the same for all segments that end there."""
+        after, marks, _, glued = self.after(j)
+        return [f"n={after}", f"nm={marks[:2]}", f"n={marks[:2]}{after}", f"ga={glued}"]
 
 
 Candidate = tuple[int, int, str, list[str]]
@@ -134,7 +157,7 @@ def _emails(line: Line) -> Iterator[Candidate]:
         for match in pattern.finditer(line.text):
             i, j = line.at.get(match.start()), line.at.get(match.end())
             if i is not None and j is not None:
-                yield i, j, "email", [f"form={form}", *line.around(i, j)]
+                yield i, j, "email", [f"form={form}", line.between(i, j)]
 
 
 def _after_extension(tokens: list[str], kinds: list[str], m: int) -> int:
@@ -193,7 +216,7 @@ def _numbers(line: Line) -> Iterator[Candidate]:
                 first = tokens[i : i + 2]
                 features = [
                     f"shape={spread}", f"digits={digits}", f"groups={min(b - a, 6)}", f"whole={b - a == len(run)}", f"start={''.join(first)[:2] if first[0] in '+(0' else first[0][:1].isdigit()}",
-                    f"letters={'A' in shape}", f"marks={''.join(sorted(set(re.findall(r'[^0-9A]', shape))))}", *line.around(i, j),
+                    f"letters={'A' in shape}", f"marks={''.join(sorted(set(re.findall(r'[^0-9A]', shape))))}", line.between(i, j),
                 ]
                 for kind in ("phone", "id_number"):
                     yield i, j, kind, features
@@ -202,8 +225,9 @@ def _numbers(line: Line) -> Iterator[Candidate]:
 def _addresses(line: Line) -> Iterator[Candidate]:
     kinds, tokens, n = line.kinds, line.tokens, len(line.tokens)
     for k in (k for k in line.words if kinds[k][-1] in "sS" and kinds[k] != "N"):
-        starts = [k] + [i for i in range(max(0, k - BEFORE_STREET), k) if kinds[i] not in ("_", ".")]
-        ends = [j for j in range(k + 1, min(n, k + AFTER_STREET) + 1) if kinds[j - 1] not in ("_",) and (kinds[j - 1] != "." or tokens[j - 1] == ".")]
+        # an address begins with a number, a capital or the street word, and ends with anything but a small common word
+        starts = [k] + [i for i in range(max(0, k - BEFORE_STREET), k) if kinds[i][0] in "NCU"]
+        ends = [j for j in range(k + 1, min(n, k + AFTER_STREET) + 1) if kinds[j - 1] not in ("_", "lv", "lp") and (kinds[j - 1] != "." or tokens[j - 1] == ".")]
         for i in starts:
             for j in ends:
                 inside = "".join(
@@ -219,7 +243,7 @@ def _addresses(line: Line) -> Iterator[Candidate]:
                 yield i, j, "address", [
                     f"form={street}", f"head={head}", f"tail={tail}", f"numbered={numbered}", f"length={min(j - i, 14)}", f"before={sum(kinds[m] not in ('_', '.') for m in range(i, k))}",
                     f"marks={''.join(sorted({tokens[m] for m in range(i, k) if kinds[m] == '.'}))}", f"small={sum(kinds[m] == 'lv' for m in range(i, j))}",
-                    f"stop={any(tokens[m] in '.?!' and kinds[m + 1] == '_' for m in range(i, k))}", *line.around(i, j),
+                    f"stop={any(tokens[m] in '.?!' and kinds[m + 1] == '_' for m in range(i, k))}", line.between(i, j),
                 ]
 
 
@@ -241,13 +265,14 @@ def _names(line: Line) -> Iterator[Candidate]:
             end = j
             if kinds[j - 1][1] in "ia" and end < len(tokens) and tokens[end] == "." and ("," in form or kinds[j - 1][1] == "a"):
                 end += 1
-            around = line.around(i, end)
+            around, p, n = line.between(i, end), line.before(i)[0], line.after(end)[0]
             longer = line.words[x + step + 1] if x + step + 1 < len(line.words) else None
             follows = kinds[longer] if longer is not None and "".join(tokens[j:longer]) == " " else "-"
-            yield i, end, "name", [f"form={form}", f"bare={bare}", f"one={step == 0} {kinds[i]}", f"words={step}", f"follows={follows}", *around, f"bare={bare} {around[0]}", f"form={form} {around[0]}", f"bare={bare} {around[1]}", f"bare={bare} {around[2]}"]
+            yield i, end, "name", [f"form={form}", f"bare={bare}", f"one={step == 0} {kinds[i]}", f"words={step}", f"follows={follows}", around, f"bare={bare} {around}", f"form={form} {around}", f"bare={bare} p={p}", f"bare={bare} n={n}"]
 
 
 def candidates(line: Line) -> Iterator[Candidate]:
+    """Candidate segments with their own features; ``Line.left`` and ``Line.right`` give those of their surroundings."""
     yield from _emails(line)
     yield from _numbers(line)
     yield from _addresses(line)
@@ -274,16 +299,22 @@ class Model:
         stored = json.loads(path.read_text(encoding="utf-8"))
         return cls(stored["weights"], frozenset(stored["known"]))
 
-    def score(self, kind: str, features: list[str]) -> float:
+    def sum(self, kind: str, features: list[str]) -> float:
         own = self.weights.get(kind, {})
-        return own.get("bias", 0.0) + sum(own.get(feature, 0.0) for feature in features)
+        return sum([own.get(feature, 0.0) for feature in features])
 
     def _items(self, text: str) -> tuple[tuple[int, int, str], ...]:
         """(start, end, type) of the best segmentation of a line."""
         line = Line(text, self.known)
         starting: dict[int, list[tuple[int, str, float]]] = {}
+        lefts: dict[tuple[str, int], float] = {}
+        rights: dict[tuple[str, int], float] = {}
         for i, j, kind, features in candidates(line):
-            if (score := self.score(kind, features)) + self.bound[kind] > 0.0:
+            if (left := lefts.get((kind, i))) is None:
+                left = lefts[kind, i] = self.sum(kind, line.left(i)) + self.weights.get(kind, {}).get("bias", 0.0)
+            if (right := rights.get((kind, j))) is None:
+                right = rights[kind, j] = self.sum(kind, line.right(j))
+            if (score := left + right + self.sum(kind, features)) + self.bound[kind] > 0.0:
                 starting.setdefault(i, []).append((j, kind, score))
         if not starting:
             return ()

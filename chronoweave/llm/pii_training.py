@@ -554,7 +554,7 @@ def _lattice(line: Line, gold: list[tuple[int, int, str]]) -> tuple[list[tuple[i
         seen.add((i, j, kind))
         if (i, j, kind) in places:
             right.add(len(own))
-        own.append((i, j, kind, ["bias", *features]))
+        own.append((i, j, kind, ["bias", *features, *line.left(i), *line.right(j)]))
     return (own, right) if len(right) == len(places) else None
 
 
