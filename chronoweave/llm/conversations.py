@@ -1,12 +1,13 @@
 """Rebuilding conversations from message rows, and naming those that must be dropped.
 
 Rows that carry a conversation_id belong to it. Rows without one are joined by reply and quote links, and their
-conversations are the connected components of those links (alternating large-star and small-star joins). Turns
-are then combined, ordered and validated.
+conversations are the connected components of those links (alternating large-star and small-star joins); a
+component that holds a stored conversation belongs to it. Turns are then combined, ordered and validated.
 
 Defined cases: rows with the same id are one record; a null text is an empty text; rows with the same turn_number
 and text are one turn, whose role is known if any of its rows has a known label; a null turn_number makes a
-conversation broken; a conversation of white space only is empty whatever its numbers; an empty table gives no
+conversation broken; a quote of a text that several messages have is ambiguous and links nothing; of several
+stored conversations in one component the smallest counts; a conversation of white space only is empty whatever its numbers; an empty table gives no
 rows; extra columns are ignored. Texts are compared whole.
 
 No conversation is gathered in one task: turns are combined before the shuffle, and the order within a
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm.components import star_components
+from chronoweave.sources.tables import cut
 
 TURNS_PER_RUN = 4096
 _WHITE = r"(?U)^\s*$"
@@ -29,25 +31,36 @@ def _blank(text: str) -> F.Column:
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """(a, b) of messages without conversation: a line '> text' quotes the message with that whole text; rows
-    may also name the message they reply to in a column reply_to_id."""
+    """(a, b): a message without conversation, and one it quotes or replies to.
+
+    Consecutive lines '> text' quote the message with that whole text, if only one has it; rows may also name the
+    message they reply to in a column reply_to_id.
+    """
     lacking = messages.where("conversation_id is null or conversation_id = ''")
-    quoted = F.explode(F.filter(F.split("text", "\n"), lambda line: line.startswith(">")))
-    quotes = lacking.where("text like '%>%'").select(F.col("id").alias("a"), quoted.alias("line"))
-    quotes = quotes.select("a", F.trim(F.expr("substring(line, 2)")).alias("said")).where("said <> ''").distinct()
-    said = lacking.select(F.trim("text").alias("said"), "id").groupBy("said").agg(F.min("id").alias("b"))
-    links = quotes.join(said, "said").select("a", "b")
+    block = F.explode(F.regexp_extract_all("text", F.lit(r"(?m)((?:^>[^\n]*(?:\n|\z))+)"), 1))
+    quotes = lacking.where("text rlike '(?m)^>'").select(F.col("id").alias("a"), block.alias("block"))
+    quotes = quotes.select("a", F.trim(F.regexp_replace("block", r"(?m)^> ?|\n\z", "")).alias("said")).where("said <> ''").distinct()
+    links = quotes.limit(0).select("a", F.col("said").alias("b"))
+    if not quotes.isEmpty():
+        # ids of equal texts are combined before the shuffle, so a text that everyone writes is one row a task
+        said = messages.select(F.trim("text").alias("said"), "id").join(quotes.select("said").distinct(), "said", "left_semi")
+        once = said.groupBy("said").agg(F.min("id").alias("b"), F.max("id").alias("other")).where("b = other")
+        links = quotes.join(once, "said").select("a", "b")
     if "reply_to_id" in messages.columns:
         links = links.unionByName(lacking.where("reply_to_id <> ''").select(F.col("id").alias("a"), F.col("reply_to_id").alias("b")))
     return links
 
 
 def assign_conversations(messages: DataFrame) -> DataFrame:
-    """``messages`` with a column ``conversation``: the stored id, or 'linked:' and the smallest message id of the
-    component for messages that only links hold together; null for messages that belong to no conversation."""
-    components = star_components(quote_links(messages)).select(F.col("node").alias("id"), "component")
+    """``messages`` with a column ``conversation``: the stored id, that of a stored message in the same component, or
+    'linked:' and the smallest message id of the component; null for messages that belong to no conversation."""
     stored = F.when(F.col("conversation_id") != "", F.col("conversation_id"))
-    return messages.join(components, "id", "left").withColumn("conversation", F.coalesce(stored, F.concat(F.lit("linked:"), "component"))).drop("component")
+    components = cut(star_components(quote_links(messages)).select(F.col("node").alias("id"), "component"))
+    if components.isEmpty():
+        return messages.withColumn("conversation", stored)
+    held = messages.select("id", stored.alias("held")).join(components, "id").groupBy("component").agg(F.min("held").alias("held"))
+    meant = components.join(held, "component", "left").select("id", F.coalesce("held", F.concat(F.lit("linked:"), "component")).alias("meant"))
+    return messages.join(meant, "id", "left").withColumn("conversation", F.coalesce(stored, "meant")).drop("meant")
 
 
 def speaker_roles(messages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -86,7 +99,10 @@ def _unanswered(ordered: DataFrame) -> DataFrame:
 
 def judge_conversations(messages: DataFrame, labels: DataFrame) -> DataFrame:
     """(conversation, reason): reason is empty, broken or missing_reply, null for a sound conversation."""
-    ordered = turns(speaker_roles(assign_conversations(messages), labels))
+    return _judged(turns(speaker_roles(assign_conversations(messages), labels)))
+
+
+def _judged(ordered: DataFrame) -> DataFrame:
     whole = ordered.groupBy("conversation").agg(
         F.max("spoken").alias("spoken"),
         F.min("turn_number").alias("first"),
@@ -103,6 +119,6 @@ def judge_conversations(messages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def conversation_turns(messages: DataFrame, labels: DataFrame) -> DataFrame:
     """(conversation, turn_number, role, text) of the sound conversations; order by conversation and turn_number."""
-    marked = speaker_roles(assign_conversations(messages), labels)
-    sound = judge_conversations(messages, labels).where("reason is null").select("conversation")
-    return turns(marked).join(sound, "conversation", "left_semi").select("conversation", "turn_number", "role", "text")
+    ordered = cut(turns(speaker_roles(assign_conversations(messages), labels)))
+    sound = _judged(ordered).where("reason is null").select("conversation")
+    return ordered.join(sound, "conversation", "left_semi").select("conversation", "turn_number", "role", "text")

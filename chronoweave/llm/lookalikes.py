@@ -24,53 +24,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from chronoweave.operators.skew import salted_lookup
+from chronoweave.operators.skew import largest_by_key, parallel, salted_lookup
 from chronoweave.sources.tables import cut
 
 HOT_ROWS = 100_000
 SALTS = 32
 
-# Letters of the same shape, Latin, Cyrillic, Greek; - where a script has none.
+# Letters of the same shape, Latin, Cyrillic, Greek, Armenian; - where a script has none.
 LETTERS = """
-A А Α
-B В Β
-C С Ϲ
-E Е Ε
-H Н Η
-I І Ι
-J Ј Ϳ
-K К Κ
-M М Μ
-N - Ν
-O О Ο
-P Р Ρ
-S Ѕ -
-T Т Τ
-X Х Χ
-Y У Υ
-Z - Ζ
-a а -
-c с ϲ
-d ԁ -
-e е -
-h һ -
-i і -
-j ј ϳ
-l ӏ -
-o о ο
-p р -
-q ԛ -
-s ѕ -
-v ѵ ν
-w ԝ -
-x х -
-y у -
+A А Α -
+B В Β -
+C С Ϲ -
+E Е Ε -
+H Н Η -
+I І Ι -
+J Ј Ϳ -
+K К Κ -
+M М Μ -
+N - Ν -
+O О Ο Օ
+P Р Ρ -
+S Ѕ - Տ
+T Т Τ -
+X Х Χ -
+Y У Υ -
+Z - Ζ -
+a а - -
+c с ϲ -
+d ԁ - -
+e е - -
+h һ - հ
+i і - -
+j ј ϳ -
+l ӏ - -
+o о ο օ
+p р - -
+q ԛ - -
+s ѕ - -
+v ѵ ν -
+w ԝ - -
+x х - -
+y у - -
+G Ԍ - -
+L - - Լ
+Q Ԛ - -
+U - - Ս
+V Ѵ - -
+W Ԝ - -
+g - - ց
+n - - ո
+u - - ս
+Æ Ӕ - -
+æ ӕ - -
+Ə Ә - -
+ə ә - -
 """
 
-_ROWS = [dict(zip(("LATIN", "CYRILLIC", "GREEK"), line.split(), strict=True)) for line in LETTERS.split("\n") if line]
-_TO = {script: {ord(letter): row[script] for row in _ROWS if row[script] != "-" for letter in row.values() if letter not in ("-", row[script])} for script in ("LATIN", "CYRILLIC", "GREEK")}
+_NAMES = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+_ROWS = [dict(zip(_NAMES, line.split(), strict=True)) for line in LETTERS.split("\n") if line]
+_TO = {script: {ord(letter): row[script] for row in _ROWS if row[script] != "-" for letter in row.values() if letter not in ("-", row[script])} for script in _NAMES}
 _TO_LATIN = _TO["LATIN"]
-_SCRIPTS = {"LATIN": r"\p{Latin}", "CYRILLIC": r"\p{Cyrillic}", "GREEK": r"\p{Greek}"}
+_SCRIPTS = {"LATIN": r"\p{Latin}", "CYRILLIC": r"\p{Cyrillic}", "GREEK": r"\p{Greek}", "ARMENIAN": r"\p{Armenian}"}
 _SCRIPT = {name: regex.compile(pattern) for name, pattern in _SCRIPTS.items()}
 #: Width forms, presentation ligatures and the Dutch digraph: characters whose compatibility form looks the same.
 _SAME_LOOK = regex.compile("[！-～｡-ﾟ￠-￦ﬀ-ﬆĲĳ]+")
@@ -153,7 +167,7 @@ def _replace_batch(texts: pd.Series, repairs: pd.Series) -> pd.Series:
 
 def _repaired(documents: DataFrame) -> DataFrame:
     """(doc_id, text, same_form): every document folded and its mixed-script tokens repaired."""
-    rows = documents.groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = parallel(largest_by_key(documents, "doc_id", "text"))
     ascii_only = F.col("text").rlike(r"^[\x00-\x7F]*$")
     folded = cut(rows.withColumn("folded", F.when(ascii_only, F.col("text")).otherwise(_fold_batch(F.when(~ascii_only, F.col("text"))))))
     # mixed-script tokens of each document, with what they could be
@@ -197,7 +211,7 @@ def lookalike_pairs(documents: DataFrame) -> DataFrame:
     several = keyed.groupBy("look").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("look")
     shared = cut(salted_lookup(keyed, several, "look", HOT_ROWS, SALTS))
     classes = shared.select("look", "t").distinct()
-    pairs = classes.join(classes.withColumnRenamed("t", "other"), "look").where("t < other").select("t", "other")
+    pairs = salted_lookup(classes, classes.withColumnRenamed("t", "other"), "look", HOT_ROWS, SALTS).where("t < other").select("t", "other")
     members = shared.select("doc_id", "t")
     one = salted_lookup(members, pairs, "t", HOT_ROWS, SALTS).select(F.col("doc_id").alias("one"), F.col("other").alias("t"))
     both = salted_lookup(one, members, "t", HOT_ROWS, SALTS)

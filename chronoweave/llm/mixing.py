@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm.tokens import count_tokens
+from chronoweave.operators.skew import largest_by_key, parallel
 from chronoweave.sources.tables import cut
 
 BINS = 1 << 16
@@ -39,7 +40,8 @@ def water_fill(weights: dict[str, float], caps: dict[str, float], total: float)
 
 
 def _sized(documents: DataFrame, tokenizer: str) -> DataFrame:
-    once = documents.groupBy("doc_id").agg(F.max_by("source", F.struct("source", "text")).alias("source"), F.max_by("text", F.struct("source", "text")).alias("text"))
+    records = documents.select("doc_id", F.struct("source", "text").alias("record"))
+    once = parallel(largest_by_key(records, "doc_id", "record")).select("doc_id", "record.source", "record.text")
     return cut(count_tokens(once, tokenizer).select("doc_id", "source", "n_tokens"))
 
 

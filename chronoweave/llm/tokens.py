@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from chronoweave.operators.skew import salted_lookup
+from chronoweave.operators.skew import largest_by_key, parallel, salted_lookup
 from chronoweave.sources.tables import cut
 
 WINDOW = 16
@@ -138,8 +138,8 @@ def encode_documents(documents: DataFrame, tokenizer: str = "byte_bpe_50k") -> D
         for batch in batches:
             yield batch.map(lambda parts: encoder.join([(list(p["ids"]), list(p["counts"]), p["chunk"]) for p in parts]))
 
-    rows = documents.groupBy("doc_id").agg(F.max("text").alias("text"))
-    spread = cut(rows.where("text <> ''").select("doc_id", F.posexplode(_chunk_batch("text")).alias("at", "chunk")))
+    rows = largest_by_key(documents, "doc_id", "text")
+    spread = cut(parallel(rows.where("text <> ''")).select("doc_id", F.posexplode(_chunk_batch("text")).alias("at", "chunk")))
     once = spread.select("chunk").distinct().select("chunk", encode("chunk").alias("code"))
     coded = salted_lookup(spread, once, "chunk", HOT_ROWS, SALTS)
     part = F.struct("at", F.col("code.ids").alias("ids"), F.col("code.counts").alias("counts"), "chunk")

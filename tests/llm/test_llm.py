@@ -83,6 +83,13 @@ def test_messages_without_conversation_are_linked(spark, rows):
     assert ("m2", "linked:m0") in rows(conversations.assign_conversations(replies), "id", "conversation")
 
 
+def test_quotes_of_several_lines_and_of_stored_messages(spark, rows):
+    data = [("c", 0, "first line\nsecond line", "user"), (None, 1, "> first line\n> second line\nyes", "ai"), ("c", 2, "ok", "user"), ("d", 2, "ok", "user"), (None, 3, "> ok\nfine", "ai"), (None, 4, ">>> x\n>", "user")]
+    found = conversations.assign_conversations(_messages(spark, data).drop("role"))
+    # 'ok' was said twice: which is meant is unknown
+    assert rows(found, "id", "conversation") == [("m0", "c"), ("m1", "c"), ("m2", "c"), ("m3", "d"), ("m4", None), ("m5", None)]
+
+
 PII = [
     ("mail anna.berg+x@mail.example or ANNA (at) post [dot] example", {("email", "anna.berg+x@mail.example"), ("email", "ANNA (at) post [dot] example")}),
     ("Old one ((212) 555-0119) is off, new phone: +44 20 7946 0203.", {("phone", "(212) 555-0119"), ("phone", "+44 20 7946 0203")}),
