@@ -28,7 +28,7 @@ def _intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def _breaks(df: DataFrame, key: str, start: str, end: str, rows_per_shard: int) -> DataFrame:
-    """(key, begin, finish): begin is a period's start, finish the end of the period before it (null at the first)."""
+    """(key, shard, begin, finish): begin is a period's start, finish the end of the period before it (null at the first)."""
     rows = _intervals(df, key, start, end)
     shards = TimeShards(rows, "key", "s", rows_per_shard)
     rows = shards.attach(rows)
@@ -47,7 +47,7 @@ def _breaks(df: DataFrame, key: str, start: str, end: str, rows_per_shard: int)
     )
     paired = ranked.groupBy("key", "shard", "rank").agg(F.max("begin").alias("begin"), F.max("finish").alias("finish"), F.max("carried").alias("carried"))
     # rank 1 has no end before it: the first period of the key, unless it is a carry-in of earlier shards
-    return paired.where("begin is not null and ((finish is null and not carried) or begin > finish)").select("key", "begin", "finish")
+    return paired.where("begin is not null and ((finish is null and not carried) or begin > finish)").select("key", "shard", "begin", "finish")
 
 
 def gaps(df: DataFrame, key: str, start: str, end: str, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
@@ -60,7 +60,10 @@ def periods(df: DataFrame, key: str, start: str, end: str, rows_per_shard: int =
     """(key, period_from_us, period_to_us), period_to_us -1 for an open period."""
     breaks = _breaks(df, key, start, end, rows_per_shard)
     tops = _intervals(df, key, start, end).groupBy("key").agg(F.max("e").alias("top"))
-    following = Window.partitionBy("key").orderBy("begin")
-    begun = breaks.withColumn("to", F.lead("finish").over(following)).join(tops, "key")
+    # the next break of a shard's last one is the first of a later shard: few rows a key
+    within = breaks.withColumn("to", F.lead("finish").over(Window.partitionBy("key", "shard").orderBy("begin")))
+    firsts = breaks.groupBy("key", "shard").agg(F.min_by("finish", "begin").alias("first"))
+    later = firsts.withColumn("later", F.lead("first").over(Window.partitionBy("key").orderBy("shard"))).drop("first")
+    begun = within.join(later, ["key", "shard"]).withColumn("to", F.coalesce("to", "later")).join(tops, "key")
     closed = F.coalesce("to", "top")
     return begun.select(F.col("key").alias(key), F.col("begin").alias("period_from_us"), F.when(closed == OPEN, F.lit(-1)).otherwise(closed).alias("period_to_us"))
