@@ -61,23 +61,25 @@ def parse_relations(answers: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def ask_model(texts: DataFrame, client: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """(answer_id, answer) for texts (answer_id, text): one client a task, made by ``client``; blank texts and failures answer []."""
+    """(answer_id, answer, error) for texts (answer_id, text): one client a task, made by ``client``. Blank texts answer [];
+    so do failed calls, whose error says what went wrong, so that they can be asked again."""
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         complete = client()
 
-        def one(text: str | None) -> str:
+        def one(text: str | None) -> tuple[str, str | None]:
             if not text or not text.strip():
-                return "[]"
+                return "[]", None
             try:
-                return complete(text)
-            except Exception:  # noqa: BLE001 - a failed call answers nothing
-                return "[]"
+                return complete(text), None
+            except Exception as error:  # noqa: BLE001 - one failed call must not end the task
+                return "[]", f"{type(error).__name__}: {error}"
 
         for batch in batches:
-            yield pd.DataFrame({"answer_id": batch["answer_id"], "answer": batch["text"].map(one)})
+            told = [one(text) for text in batch["text"]]
+            yield pd.DataFrame({"answer_id": batch["answer_id"], "answer": [a for a, _ in told], "error": [e for _, e in told]})
 
-    return texts.select("answer_id", "text").mapInPandas(answer, "answer_id string, answer string")
+    return texts.select("answer_id", "text").mapInPandas(answer, "answer_id string, answer string, error string")
 
 
 def canned_client(answers: dict[str, str]) -> Callable[[], Callable[[str], str]]:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Patterns of names and pronouns, words of organisations.
 NAME = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
 PRONOUN = r"\b(he|him|his|she|her|they|them|their)\b"
 ORG_WORDS = ("Corp", "Inc", "LLC", "Ltd", "Company", "Group")
