@@ -15,3 +15,12 @@ def test_forms_are_equal_where_texts_look_the_same(spark, rows, monkeypatch):
     for a, b in itertools.combinations([i for i, t in enumerate(texts) if t], 2):
         assert (forms[a] == forms[b]) is ((a, b) in paired or texts[a] == texts[b]), (texts[a], texts[b])
     assert {(0, 1), (4, 5), (6, 7), (12, 13)} <= paired
+
+
+def test_looks_across_scripts():
+    from chronoweave.llm.lookalikes import fold, look
+
+    same = [("pаlаcе", "palace"), ("ΟΚ", "OK"), ("Օսո", "Oun"), ("ԌԚԜ", "GQW"), ("ƏӘ", "ƏƏ"), ("Ａ ｂ", "A b"), ("é", "é")]
+    assert all(look(fold(a)) == look(fold(b)) for a, b in same)
+    other = [("palace", "Palace"), ("e", "é"), ("б", "b"), ("я", "R"), ("λ", "A"), ("ա", "w"), ("0", "O"), ("1", "l"), ("ж", "x")]
+    assert all(look(fold(a)) != look(fold(b)) for a, b in other)
