@@ -292,6 +292,12 @@ def deletion_keys(word: Column, most: int, *scope: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(*scope, w))
 
 
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join on deletion keys. A merge join always: the planner sizes a side as before its keys were exploded (up to two
+    thousand a word), so it would send the keys of a small-looking side through the driver to broadcast them."""
+    return left.join(right.hint("merge"), "key")
+
+
 def _listed(df: DataFrame, kinds: dict[str, frozenset[str]]) -> DataFrame:
     rows = [(kind, word) for kind, words in kinds.items() for word in sorted(words)]
     return df.sparkSession.createDataFrame(rows, "type string, word string").withColumn("listed", F.lit(True))
@@ -314,7 +320,7 @@ def _misspelt(words: DataFrame) -> DataFrame:
     weak = spread(words.where("not listed").select("type", "word", "wide"), "word")
     strong_keys = strong.select("meant", "type", "meant_wide", F.explode(deletion_keys(F.col("meant"), 2, F.col("type"))).alias("key"))
     weak_keys = weak.where(F.length("word") > 2).select("word", "wide", F.explode(deletion_keys(F.col("word"), 2, F.col("type"))).alias("key"))
-    met = weak_keys.join(strong_keys, "key").where("word <> meant").select("type", "word", "wide", "meant", "meant_wide").distinct()
+    met = _meet(weak_keys, strong_keys).where("word <> meant").select("type", "word", "wide", "meant", "meant_wide").distinct()
     close = within_two_errors(met, "word", "meant").where(F.col("meant_wide") >= F.col("wide") * F.pow(F.lit(RARER), F.col("errors")))
     best = F.max_by(F.struct("meant", "meant_wide"), F.struct(F.log("meant_wide") + F.col("errors") * TYPO, "meant")).alias("best")
     return close.groupBy("type", "word").agg(best).select("type", "word", "best.meant", "best.meant_wide")
@@ -338,10 +344,10 @@ def _places(texts: DataFrame) -> DataFrame:
     named = texts.where("type = 'organization' and size(split.words) > 1").select("text", F.explode("split.words.word").alias("word")).distinct()
     own = counted.where("type = 'organization'").join(meant.select("type", "word", "meant_wide"), ["type", "word"], "left")
     partners = own.select("word", F.coalesce("meant_wide", "wide").alias("wide"))
-    compared = salted_lookup(named, partners, "word", HOT_ROWS, SALTS)
+    compared = cut(salted_lookup(named, partners, "word", HOT_ROWS, SALTS))
     least = compared.groupBy("text").agg(F.min("wide").alias("least"))
     wins = compared.join(least, "text").groupBy("word").agg(F.avg((F.col("wide") >= WIDER * F.greatest("least", F.lit(1.0))).cast("double")).alias("place"))
-    places = person.unionByName(wins.select(F.lit("organization").alias("type"), "word", "place"))
+    places = cut(person.unionByName(wins.select(F.lit("organization").alias("type"), "word", "place")))
     told = meant.drop("meant_wide").join(places.select("type", F.col("word").alias("meant"), F.col("place").alias("meant_wide")), ["type", "meant"])
     return places.withColumnRenamed("place", "wide").join(told, ["type", "word"], "left")
 
@@ -385,6 +391,7 @@ def _short_forms(read: DataFrame) -> DataFrame:
     borne = seen.groupBy("type", "a").agg(F.sum("n").alias("borne"))
     # of two words the one that more main parts are written with is the full form, unless the prior lists know better
     written = read.where("side <> ''").select("type", "main", F.explode(F.split("side", " ")).alias("w")).groupBy("type", "w").agg(F.approx_count_distinct("main", 0.02).alias("wide"))
+    written = cut(written)
     strength = written.select("type", F.col("w").alias("b"), F.col("wide").alias("b_wide"))
     weakness = written.select("type", F.col("w").alias("a"), F.col("wide").alias("a_wide"))
     known_full = listed.select("type", F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("is_full"))
@@ -432,7 +439,7 @@ def _typo_links(forms: DataFrame) -> DataFrame:
     by_main = F.when((F.length("side") > 3) & (F.col("type") == "person"), deletion_keys(F.col("side"), 2, F.lit("main"), F.col("type"), F.col("main"))).otherwise(F.array())
     keys = cut(spread(forms, "form").select("form", F.explode(F.concat(by_side, by_main)).alias("key")))
     # only the keys of two forms or more meet anything; a hot key is split by the planner's skew join
-    met = keys.withColumnRenamed("form", "typo").join(keys, "key").where("typo <> form").select("typo", "form").distinct()
+    met = _meet(keys.withColumnRenamed("form", "typo"), keys).where("typo <> form").select("typo", "form").distinct()
     known = forms.select("form", "type", "main", "side", "n", "borne", "others", "wide")
     left = known.select(*(F.col(c).alias("typo" if c == "form" else f"typo_{c}") for c in known.columns))
     met = cut(met.join(left, "typo").join(known, "form"))
@@ -480,12 +487,12 @@ def _start_links(read: DataFrame, forms: DataFrame, typos: DataFrame) -> DataFra
     begun = meant.withColumn("start", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("side"), F.lit(LONGEST))), lambda i: F.substring("side", F.lit(1), i))))
     asked = cut(starts.select("type", "start").distinct())
     begun = begun.join(small(asked, asked.count()), ["type", "start"], "left_semi")
-    begun = begun.groupBy("type", "main", "start", "canonical").agg(F.sum("n").cast("double").alias("weight"))
+    begun = cut(begun.groupBy("type", "main", "start", "canonical").agg(F.sum("n").cast("double").alias("weight")))
     exact = _most_likely(starts.join(begun, ["type", "main", "start"]), "type", "main", "start")
     lost = starts.join(begun.select("type", "main", "start").distinct(), ["type", "main", "start"], "left_anti")
     lost = lost.select("type", F.col("main").alias("typo"), "start", F.explode(deletion_keys(F.col("main"), 1, F.col("type"), F.col("start"))).alias("key"))
     near = begun.withColumn("key", F.explode(deletion_keys(F.col("main"), 1, F.col("type"), F.col("start")))).select("main", "canonical", "weight", "key")
-    close = within_two_errors(lost.join(near, "key").drop("key").distinct(), "typo", "main").where("errors = 1")
+    close = within_two_errors(_meet(lost, near).drop("key").distinct(), "typo", "main").where("errors = 1")
     return exact.unionByName(_most_likely(close.groupBy("type", "typo", "start", "canonical").agg(F.sum("weight").alias("weight")), "type", "typo", "start").withColumnRenamed("typo", "main"))
 
 
@@ -520,8 +527,8 @@ def canonical_forms(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     begun = read.where("start <> ''").join(starts, ["type", "main", "start"]).select("id", "type", "active", "is_name", F.col("canonical").alias("form"))
     known = forms.select("form", "main", "side", "n")
     borne = cut(whole.unionByName(begun).distinct().join(known.drop("n"), "form"))
-    links = reduce(DataFrame.unionByName, (typos, _short_links(forms, shorts), _alias_links(borne)))
-    groups = cut(seed_tree_components(links.select("form", "canonical").distinct()))
+    links = reduce(DataFrame.unionByName, (typos, cut(_short_links(forms, shorts)), cut(_alias_links(borne))))
+    groups = cut(seed_tree_components(cut(links.select("form", "canonical").distinct())))
     grouped = known.join(groups, known.form == groups.node, "left").select("form", "main", "side", "n", F.coalesce("component", "form").alias("component"))
     best = grouped.groupBy("component").agg(F.min_by(F.struct("main", "side"), F.struct(-F.col("n"), "main", "side")).alias("best"))
     meant = grouped.join(best, "component").select("form", "best")
