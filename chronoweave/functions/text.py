@@ -17,7 +17,11 @@ def words(text: Column) -> Column:
 
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, letter case aside; 1 for two empty texts."""
-    a, b = F.lower(a), F.lower(b)
+    return lower_similarity(F.lower(a), F.lower(b))
+
+
+def lower_similarity(a: Column, b: Column) -> Column:
+    """``edit_similarity`` of two texts in lower case."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
@@ -32,12 +36,21 @@ def soundex(word: Column) -> Column:
     return F.when(upper == "", F.lit("")).otherwise(F.rpad(F.concat(first, rest), 4, "0"))
 
 
+def phonetic_codes(name: Column) -> Column:
+    """The codes of the words of more than one letter."""
+    return F.transform(F.filter(words(name), lambda w: F.length(w) > 1), soundex)
+
+
+def shared_codes(a: Column, b: Column) -> Column:
+    """Share of the pairs of codes that are equal; 0 without pairs."""
+    same = F.aggregate(a, F.lit(0), lambda n, x: n + F.size(F.filter(b, lambda y: x == y)))
+    pairs = F.size(a) * F.size(b)
+    return F.when(pairs > 0, same / pairs).otherwise(F.lit(0.0))
+
+
 def phonetic_match(a: Column, b: Column) -> Column:
     """Share of the word pairs (words of more than one letter) with equal codes; 0 without pairs."""
-    codes = [F.transform(F.filter(words(name), lambda w: F.length(w) > 1), soundex) for name in (a, b)]
-    same = F.aggregate(codes[0], F.lit(0), lambda n, x: n + F.size(F.filter(codes[1], lambda y: x == y)))
-    pairs = F.size(codes[0]) * F.size(codes[1])
-    return F.when(pairs > 0, same / pairs).otherwise(F.lit(0.0))
+    return shared_codes(phonetic_codes(a), phonetic_codes(b))
 
 
 def types_compatible(a: Column, b: Column) -> Column:

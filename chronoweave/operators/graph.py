@@ -8,11 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.functions.text import words
 from chronoweave.operators.skew import salted_lookup
 from chronoweave.sources.tables import cut, micros
 
 HOT_ROWS = 100_000
 SALTS = 32
+#: Entities of a probe beyond which their pairs with questions are spread over tasks, and how many.
+HOT_PROBE, PROBE_SALTS = 1000, 8
 
 
 def is_current(superseded: str = "superseded_by_id") -> Column:
@@ -32,33 +35,63 @@ def exact_matches(probes: DataFrame, surfaces: DataFrame) -> DataFrame:
     return salted_lookup(keyed, probes.select("probe").distinct(), "probe", HOT_ROWS, SALTS).select("probe", "entity_id")
 
 
-def substring_matches(probes: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """(probe, entity_id) with a name or alias that contains the probe, letter case aside.
-
-    Each probe is looked up by its rarest piece of three characters (shorter probes by themselves), then
-    verified; % and _ are ordinary characters. An empty probe matches every entity.
-    """
-    probes = cut(probes.select("probe", F.lower("probe").alias("p")).where("probe is not null").distinct())
-    texts = cut(surfaces.select("entity_id", F.lower("surface").alias("s")).distinct())
-    sizes = [row.n for row in probes.select(F.least(F.length("p"), F.lit(3)).alias("n")).distinct().collect()]  # at most four numbers
+def _containing(parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(p, s) of all texts (s) that contain a part (p), none of them empty: each part is looked up by its rarest piece of
+    three characters (shorter parts by themselves), then verified."""
+    sizes = [row.n for row in parts.select(F.least(F.length("p"), F.lit(3)).alias("n")).distinct().collect()]  # at most three numbers
 
     def pieces(text: str, n: int) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n))))
 
-    found = None
+    found = parts.crossJoin(texts).limit(0)
     for n in sorted(sizes):
-        own = probes.where(F.least(F.length("p"), F.lit(3)) == n)
-        if n == 0:
-            part = own.select("probe").join(texts.select("entity_id").distinct(), F.lit(True))
-        else:
-            postings = texts.where(F.length("s") >= n).select("entity_id", "s", F.explode(pieces("s", n)).alias("piece"))
-            wanted = own.select("probe", "p", F.explode(pieces("p", n)).alias("piece"))
-            sizes_of = postings.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-            rarest = Window.partitionBy("probe").orderBy(F.coalesce("n", F.lit(0)), "piece")
-            key = wanted.join(sizes_of, "piece", "left").withColumn("rank", F.row_number().over(rarest)).where("rank = 1").select("probe", "p", "piece")
-            part = salted_lookup(postings, cut(key), "piece", HOT_ROWS, SALTS).where(F.contains("s", "p")).select("probe", "entity_id")
-        found = part if found is None else found.unionByName(part)
-    return probes.select("probe").limit(0).withColumn("entity_id", F.lit("")) if found is None else found.distinct()
+        own = parts.where(F.least(F.length("p"), F.lit(3)) == n)
+        postings = texts.where(F.length("s") >= n).select("s", F.explode(pieces("s", n)).alias("piece"))
+        wanted = own.select("p", F.explode(pieces("p", n)).alias("piece"))
+        sizes_of = postings.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+        rarest = Window.partitionBy("p").orderBy(F.coalesce("n", F.lit(0)), "piece")
+        key = wanted.join(sizes_of, "piece", "left").withColumn("rank", F.row_number().over(rarest)).where("rank = 1").select("p", "piece")
+        part = salted_lookup(postings, key, "piece", HOT_ROWS, SALTS).where(F.contains("s", "p")).select("p", "s")
+        found = part if n == sorted(sizes)[0] else found.unionByName(part)
+    return found
+
+
+def substring_matches(probes: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """(probe, entity_id) with a name or alias that contains the probe, letter case aside.
+
+    A word of a probe always lies within one word of the text, so the different words of the probes are matched with
+    the different words of the texts; each probe is then looked up by its rarest word and verified. % and _ are ordinary
+    characters. Only a probe without a word (blank) is compared with every text; an empty one matches every entity.
+    """
+    probes = cut(probes.select("probe", F.lower("probe").alias("p")).where("probe is not null").distinct())
+    texts = surfaces.select("entity_id", F.lower("surface").alias("s"))
+    postings = texts.select("entity_id", "s", F.explode(F.array_distinct(words(F.col("s")))).alias("token")).distinct()
+    counts = cut(postings.groupBy(F.col("token").alias("s")).agg(F.count(F.lit(1)).alias("n")))
+    wanted = probes.select("probe", "p", F.explode(F.array_distinct(words(F.col("p")))).alias("word"))
+    held = cut(_containing(wanted.select(F.col("word").alias("p")).distinct(), counts.select("s")).join(counts, "s").select(F.col("p").alias("word"), F.col("s").alias("token"), "n"))
+    rarest = Window.partitionBy("probe").orderBy(F.coalesce("n", F.lit(0)), "word")
+    weights = held.groupBy("word").agg(F.sum("n").alias("n"))
+    key = wanted.join(weights, "word", "left").withColumn("rank", F.row_number().over(rarest)).where("rank = 1").select("probe", "p", "word")
+    looked_up = key.join(held.select("word", "token"), "word").select("probe", "p", "token")
+    found = salted_lookup(postings, looked_up, "token", HOT_ROWS, SALTS).where(F.contains("s", "p")).select("probe", "entity_id")
+    blank = probes.where(F.size(words(F.col("p"))) == 0)
+    if not blank.isEmpty():
+        found = found.unionByName(blank.join(texts, F.contains("s", "p")).select("probe", "entity_id"))
+    return found.distinct()
+
+
+def first_matches(questions: DataFrame, probes: str, found: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Rows of ``questions`` with the entities of ``found`` (probe, entity_id) and their columns of ``entities``, each entity
+    once: at the first of the question's array ``probes`` that it matches, numbered ``step`` from 0.
+
+    Every row carries the probes it has before, or matches, so later matches are dropped where they arise: the pairs, far
+    more than the rows of either table, are never shuffled to find repeats.
+    """
+    met = cut(found.groupBy("entity_id").agg(F.collect_set("probe").alias("_met")))
+    postings = (met if entities is None else met.join(entities, "entity_id")).select("*", F.explode("_met").alias("probe"))
+    steps = questions.select("*", F.posexplode(probes).alias("step", "probe")).withColumn("_before", F.slice(probes, F.lit(1), F.col("step")))
+    pairs = salted_lookup(postings, steps.drop(probes), "probe", HOT_PROBE, PROBE_SALTS)
+    return pairs.where(~F.arrays_overlap("_before", "_met")).drop("_before", "_met", "probe")
 
 
 def current_properties(properties: DataFrame) -> DataFrame:
