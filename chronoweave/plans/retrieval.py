@@ -201,7 +201,8 @@ _TIER1 = _FAST.format("(name_fuzzy * 0.35 + name_phonetic * 0.1 + coalesce(alias
 
 @query(_SIGNALS + f"SELECT mention_id, entity_id, round({_TIER1}, 6) AS score FROM g")
 def resolve_tier1(s, d):
-    return resolution.tier1_scores(_signals(s, d)[0]).select("mention_id", "entity_id", F.round("score", 6).alias("score"))
+    found = resolution.candidate_signals(_mentions(s, d), entities(s, d).where("not archived"), aliases(s, d))
+    return resolution.tier1_scores(found).select("mention_id", "entity_id", F.round("score", 6).alias("score"))
 
 
 _NEAR = """, near AS (SELECT sym.entity_id, count(DISTINCT other_id) AS near FROM sym JOIN e ON e.id = other_id WHERE NOT archived AND other_id <> sym.entity_id GROUP BY 1),
