@@ -9,7 +9,7 @@ from chronoweave.operators import evaluation, extraction, merging, privacy, reca
 from chronoweave.operators import graph as reads
 from chronoweave.plans.graph import _DAYS, CLEAN, NOW, aliases, at, entities, properties, relationships, source_refs
 from chronoweave.schema import one_record
-from chronoweave.sources.tables import micros, scan
+from chronoweave.sources.tables import cut, micros, scan
 from chronoweave.streaming import scratchpad
 
 QUERIES, SQL = {}, {}
@@ -184,6 +184,13 @@ def resolve_candidates(s, d):
     return resolution.candidates(_mentions(s, d), reads.surfaces(known, aliases(s, d)))
 
 
+def _known(s, d):
+    """Active entities with their order and number of connected ones."""
+    known = entities(s, d)
+    near = resolution.connections(known, relationships(s, d)).withColumnRenamed("entity_id", "id")
+    return cut(resolution.numbered(known.where("not archived")).join(near, "id", "left"))
+
+
 def _signals(s, d):
     known = entities(s, d).where("not archived")
     return resolution.signals(_mentions(s, d), resolve_candidates(s, d), known, aliases(s, d)), known
@@ -215,7 +222,7 @@ _TIER2 = _FAST.format(f"""(name_fuzzy * (0.35 - 0.1 * k) + name_phonetic * (0.08
 
 @query(_SIGNALS + _NEAR + f"SELECT mention_id, entity_id, round({_TIER2}, 6) AS score FROM (SELECT g.*, near FROM g LEFT JOIN near USING (entity_id)), mat")
 def resolve_tier2(s, d):
-    found, known = _signals(s, d)
+    found = resolution.candidate_signals(_mentions(s, d), _known(s, d), aliases(s, d))
     return resolution.tier2_scores(found, entities(s, d), relationships(s, d), at(NOW)).select("mention_id", "entity_id", F.round("score", 6).alias("score"))
 
 
