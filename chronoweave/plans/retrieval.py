@@ -231,7 +231,9 @@ k AS (SELECT * FROM b WHERE type_match > 0 AND score >= 0.85)
 SELECT m.mention_id, CASE WHEN k.entity_id IS NULL THEN 'create' ELSE 'merge' END AS action, k.entity_id, round(score, 6) AS confidence,
   CASE WHEN k.name <> entity_name AND coalesce(alias_match, 0) < 1 THEN k.name END AS add_alias FROM m LEFT JOIN k USING (mention_id)""")
 def resolve_decisions(s, d):
-    return resolution.decide(_mentions(s, d), resolution.tier1_scores(_signals(s, d)[0]))
+    told, named, known = _mentions(s, d), aliases(s, d), _known(s, d)
+    pairs = resolution.best(resolution.tier1_scores(resolution.candidate_signals(told, known, named)), known)
+    return resolution.decide(told, resolution.tier1_scores(resolution.signals(told, pairs, known, named)))
 
 
 @query(_SIGNALS + _NEAR + f""", sc AS (SELECT *, round({_TIER2}, 9) AS score FROM (SELECT g.*, near FROM g LEFT JOIN near USING (entity_id)), mat),
