@@ -191,11 +191,6 @@ def _known(s, d):
     return cut(resolution.numbered(known.where("not archived")).join(near, "id", "left"))
 
 
-def _signals(s, d):
-    known = entities(s, d).where("not archived")
-    return resolution.signals(_mentions(s, d), resolve_candidates(s, d), known, aliases(s, d)), known
-
-
 _PHON = "(CASE WHEN len(x) * len(y) > 0 THEN coalesce(list_sum(list_transform(x, lambda c: len(list_filter(y, lambda k: k = c)))), 0) / (len(x) * len(y)) ELSE 0.0 END)"
 _SIGNALS = _PAIRS + f""", g0 AS (SELECT mention_id, pairs.entity_id, m.name, m.type, e.name AS entity_name, e.type AS entity_type, e.last_seen, {_codes("m.name")} AS x, {_codes("e.name")} AS y,
   (SELECT max({_SIM.format("m.name", "alias")}) FROM a WHERE a.entity_id = pairs.entity_id AND alias IS NOT NULL) AS alias_match FROM pairs JOIN m USING (mention_id) JOIN e ON e.id = pairs.entity_id),
@@ -241,8 +236,10 @@ b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY mention_id ORDER
 SELECT m.mention_id, CASE WHEN k.entity_id IS NULL THEN 'create' ELSE 'merge' END AS action, k.entity_id, round(score, 6) AS confidence,
   CASE WHEN k.name <> entity_name AND coalesce(alias_match, 0) < 1 THEN k.name END AS add_alias FROM m LEFT JOIN k USING (mention_id)""")
 def resolve_tier2_decisions(s, d):
-    found, known = _signals(s, d)
-    return resolution.decide(_mentions(s, d), resolution.tier2_scores(found, entities(s, d), relationships(s, d), at(NOW)))
+    told, named, known = _mentions(s, d), aliases(s, d), _known(s, d)
+    scored = lambda found: resolution.tier2_scores(found, entities(s, d), relationships(s, d), at(NOW))
+    pairs = resolution.best(scored(resolution.candidate_signals(told, known, named)), known)
+    return resolution.decide(told, scored(resolution.signals(told, pairs, known, named)))
 
 
 # chains are walked to their last record; of a circle the smallest id survives
